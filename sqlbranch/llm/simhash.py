@@ -173,14 +173,25 @@ def link(docs: DataFrame, tau: int = 3, text: str = "text", doc_id: str = "doc_i
     Existing columns of the new names are replaced.
     """
     docs = with_fingerprints(docs.drop("fp", "component_id"), text)
-    classes = components(docs, tau, doc_id)
+    classes = components(docs, tau, doc_id).drop("root")
     return docs.join(classes, "fp", "left").select(*docs.columns, "component_id")
 
 
 def components(prints: DataFrame, tau: int = 3, doc_id: str = "doc_id") -> DataFrame:
-    """fp, component_id: a row for each distinct fingerprint in column fp of prints."""
+    """fp, component_id and root (its smallest fingerprint): a row for each distinct fingerprint in column fp of prints."""
     distinct = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("first_id")), "fingerprints")
     roots = connected_components(near_pairs(distinct.select("fp"), tau))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return joined.join(least, "root").select("fp", "component_id")
+    return joined.join(least, "root").select("fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, tau: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: the one of the smallest doc_id; of repeated rows of that, one.
+
+    A component without any doc_id keeps one row too.
+    """
+    prints = with_fingerprints(docs, text, "_fp")
+    classes = components(prints.withColumnRenamed("_fp", "fp"), tau, doc_id).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_first"), "root")
+    first = prints.join(classes, "_fp").filter(F.col(doc_id).eqNullSafe(F.col("_first")))
+    return first.dropDuplicates(["root", doc_id]).select(*docs.columns)
