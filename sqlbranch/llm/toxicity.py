@@ -1,7 +1,7 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-A model of bigrams is learnt for each class of labelled documents. Its symbols are the words that tell the classes apart most and one symbol for all
-others, so a model is a matrix of known size. Counts of a word are, as Kneser and Ney count for lower orders, of the distinct words
+A model of bigrams is learnt for each class of labelled documents. Its symbols are the words and word beginnings that tell the classes apart most and
+one symbol for all others, so a model is a matrix of known size. A word that is too rare for a symbol of its own has that of its beginning. Counts of a word are, as Kneser and Ney count for lower orders, of the distinct words
 that it follows, which keeps copies of one document from passing for evidence. Each class backs off from bigrams to its words, and from those to
 the counts that both classes share, which smooths rare expressions alike. A document scores by the log-likelihood ratio for
 each word, in its most suspicious passage of PASSAGE words, mapped to 0..1 by a logistic curve.
@@ -25,6 +25,11 @@ SYMBOLS = 512
 MIN_CONTEXTS, MIN_EVIDENCE = 6, 20.0
 #: Kneser-Ney's discount, and the words of the passage that scores are normalised over.
 DISCOUNT, PASSAGE = 0.75, 64
+#: Share of each class's distribution that comes from the counts of both. The discounts of all rare words would add up to about this, but those words
+#: have one symbol, so it is stated.
+BACKOFF = 0.1
+#: Bytes of a word's beginning.
+BEGINNING = 6
 #: Training rows that the logistic curve is fitted on.
 CURVE_ROWS = 4000
 
@@ -36,6 +41,16 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.translate(_LOWER))
 
 
+def beginning(word: bytes) -> bytes:
+    return word[:BEGINNING] + b"*"
+
+
+def symbols_of(words: list[bytes], numbers: dict[bytes, int]) -> list[int]:
+    """The number of each word, else of its beginning, else 0."""
+    get = numbers.get
+    return [get(w) or get(w[:BEGINNING] + b"*", 0) for w in words]
+
+
 def _counted(training: DataFrame, key, left_of, limit: int = 400_000) -> DataFrame:
     """word, left (hash of the word before), toxic, n: how often; tasks sum before they pass on."""
 
@@ -67,10 +82,11 @@ def _signed(hashed: Hasher):
 
 
 def _symbols(training: DataFrame) -> list[bytes]:
-    """The words that tell the classes apart, best first."""
+    """The words and beginnings that tell the classes apart, best first."""
 
     def documents(words, toxic, _):
-        return [(w, 0, 0, toxic) for w in set(words)]
+        distinct = set(words)
+        return [(w, 0, 0, toxic) for w in distinct.union(map(beginning, distinct))]
 
     per_class = _counted(training, documents, lambda h: None).groupBy("word").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
     totals = training.groupBy("toxic").count().collect()
@@ -98,8 +114,7 @@ class Models:
         words = words_of(text)
         if not words:
             return 0.0
-        get = self.symbols.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        ids = np.array(symbols_of(words, self.symbols), np.int64)
         ratios = self.ratio[np.r_[0, ids[:-1]], ids]
         if len(ratios) <= PASSAGE:
             return float(ratios.sum()) / PASSAGE
@@ -119,10 +134,8 @@ def _kneser_ney(counts: np.ndarray) -> np.ndarray:
     for c in counts:
         words = c.sum(axis=0)
         total = max(words.sum(), 1.0)
-        types = np.minimum(words, 1.0).sum()
-        # discounts of the words go to the shared distribution; at least one count's mass does
         low = np.maximum(words - DISCOUNT, 0) / total
-        low = low + max(1 - low.sum(), 0.0) * shared if types else shared
+        low = low * (1 - BACKOFF) / low.sum() + BACKOFF * shared if low.any() else shared
         rows = np.maximum(c.sum(axis=1, keepdims=True), 1.0)
         high = np.maximum(c - DISCOUNT, 0) / rows
         high = high + np.maximum(1 - high.sum(axis=1, keepdims=True), 0.0) * low
@@ -142,10 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     numbers = {w: k + 1 for k, w in enumerate(candidates)}
 
     def contexts(words, toxic, signed):
-        get = numbers.get
         before, out, earlier = 0, [], b""
-        for w in words:
-            symbol = get(w, 0)
+        for w, symbol in zip(words, symbols_of(words, numbers)):
             if symbol:
                 out.append((b"", signed(earlier), before * (len(numbers) + 1) + symbol, toxic))
             before, earlier = symbol, w
