@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass decides on a block by what it stands in, its link density,
 its length and its density of stop words; short or doubtful blocks stay undecided. In the second pass those take the label
-of the nearest decided neighbour in their part of the page.
+of the nearest decided neighbour in their part of the page; in an article, boilerplate has to stand on both sides.
 """
 
 from __future__ import annotations
@@ -133,22 +133,20 @@ def main_text(html: str) -> str:
     blocks = blocks_of(html)
     articles = any(b.part for b in blocks)
     labels = [_decide(b, articles) for b in blocks]
-    after: list[tuple[int, bool] | None] = [None] * len(blocks)
-    near: tuple[int, int, bool] | None = None
-    for k in range(len(blocks) - 1, -1, -1):
-        if labels[k] is not None:
-            near = (blocks[k].part, k, labels[k])
-        elif near and near[0] == blocks[k].part:
-            after[k] = near[1:]
-    out, before = [], None
+    decided = [(k, b.part, labels[k]) for k, b in enumerate(blocks) if labels[k] is not None and not b.skipped]
+    out, at = [], 0
     for k, block in enumerate(blocks):
+        while at < len(decided) and decided[at][0] < k:
+            at += 1
         label = labels[k]
-        if label is not None:
-            before = (block.part, k, label)
-        else:
-            earlier = before[1:] if before and before[0] == block.part else None
-            found = [(abs(k - i), not good, good) for i, good in filter(None, (earlier, after[k]))]
-            label = min(found)[2] if found and not (articles and not block.part) else bool(block.part) or not articles and not found
+        if label is None:
+            sides = [d for d in (decided[at - 1] if at else None, decided[at] if at < len(decided) else None) if d and d[1] == block.part]
+            if block.part:  # in an article, only what stands between boilerplate goes
+                label = len(sides) < 2 or any(d[2] for d in sides)
+            elif articles:
+                label = False
+            else:
+                label = min((abs(d[0] - k), not d[2]) for d in sides)[1] is False if sides else True
         if label:
             out.append(block.text)
     return "\n".join(out)

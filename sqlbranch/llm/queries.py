@@ -15,7 +15,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(table(spark, sf_dir, "documents"))
+    return quality.judge_quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stored(decontam.build_index(table(spark, sf_dir, "documents")), "positions", row_group=16 << 20)
-    return decontam.search_index(index, table(spark, sf_dir, "benchmark")).drop("items")
+    return decontam.search_index(index, table(spark, sf_dir, "benchmark"), near=0).drop("items", "n_near_items")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return dict(ORACLES)

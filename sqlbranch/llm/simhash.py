@@ -192,6 +192,6 @@ def keep_one(docs: DataFrame, tau: int = 3, text: str = "text", doc_id: str = "d
     A component without any doc_id keeps one row too.
     """
     prints = with_fingerprints(docs, text, "_fp")
-    classes = components(prints.withColumnRenamed("_fp", "fp"), tau, doc_id).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_first"), "root")
+    classes = components(prints.select(doc_id, F.col("_fp").alias("fp")), tau, doc_id).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_first"), F.col("root").alias("_root"))
     first = prints.join(classes, "_fp").filter(F.col(doc_id).eqNullSafe(F.col("_first")))
-    return first.dropDuplicates(["root", doc_id]).select(*docs.columns)
+    return first.dropDuplicates(["_root", doc_id]).select(*docs.columns)
