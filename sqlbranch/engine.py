@@ -303,7 +303,9 @@ class Engine:
         rows = given.select(*columns, "_ord")
         auto = [c.name for c in info.columns if c.autoincrement or info.primary_key == [c.name] and c.type == "bigint" and c.nullable]
         if auto:
-            number = F.row_number().over(Window.orderBy("_ord")) + F.lit(info.next_rowid - 1)
+            # numbers of listed rows follow each other; those of a query's rows, which no single task should see, only rise
+            place = F.monotonically_increasing_id() if "query" in parts else F.row_number().over(Window.orderBy("_ord")) - 1
+            number = place + F.lit(info.next_rowid)
             rows = rows.withColumn(auto[0], F.coalesce(F.col(auto[0]), number.cast("bigint")))
         return rows
 
@@ -339,14 +341,15 @@ class Engine:
             self._check(info, whole, None)
             paths = [self.workspace.write(whole, info)]
         count = rows.agg(F.count("*")).first()[0]
+        keyed = [c.name for c in info.columns if c.type == "bigint"]
+        top = touched.agg(F.count("*"), *(F.max(c).alias(c) for c in keyed)).first()
 
         def change(m: Manifest):
             t = m.tables[m.find(table)]
             t.paths, t.next_rowid = paths, t.next_rowid + count
             auto = [c.name for c in t.columns if c.autoincrement or t.primary_key == [c.name] and c.type == "bigint"]
             if auto:
-                top = self.workspace.read(t).agg(F.max(auto[0])).first()[0]
-                t.next_rowid = max(t.next_rowid, (top or 0) + 1)
+                t.next_rowid = max(t.next_rowid, (top[auto[0]] or 0) + 1)
 
         result = self._returned(parts["returning"], touched, table, params)
         self.workspace.update(change)
