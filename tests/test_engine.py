@@ -198,6 +198,17 @@ def test_functions_of_the_user_and_determinism(spark, engine):
     assert "Range" in engine.explain("SELECT 1 AS x") or engine.explain("SELECT 1 AS x")
 
 
+def test_plans(spark, engine, sf):
+    engine.register("lineitem", spark.read.parquet(f"{sf}/lineitem.parquet"))
+    plan = engine.explain("SELECT l_returnflag, sum(l_quantity) AS q FROM lineitem WHERE l_quantity > 40 AND l_shipdate < '1999-01-01'::timestamp GROUP BY l_returnflag")
+    assert "PushedFilters: [IsNotNull(l_quantity), IsNotNull(l_shipdate), GreaterThan(l_quantity,40.0)" in plan
+    assert "ReadSchema: struct<l_quantity:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in plan and plan.count("partial_") >= 1
+    top = engine.explain("SELECT l_orderkey FROM lineitem ORDER BY l_extendedprice DESC LIMIT 3")
+    assert "TakeOrderedAndProject" in top
+    semi = engine.explain("SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+    assert "LeftSemi" in semi and "CartesianProduct" not in semi
+
+
 def test_files(spark, engine, tmp_path):
     (tmp_path / "In Put.csv").write_text('Id,Full Name,Full Name,9x\n1,"a, ""b""\nc",x,1.5\n2,d,,2\n')
     readers.import_file(engine, str(tmp_path / "In Put.csv"))
