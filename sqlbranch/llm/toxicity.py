@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     Without documents of both classes every ratio is 0 and every score 0.5 or less.
     """
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
-    joined = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("text")).join(marks, "_id")
+    # labels grow with the documents, so neither side is ever broadcast
+    joined = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("text")).join(marks.hint("merge"), "_id")
     training = stored(joined.select("_id", "text", "toxic"), "toxicity")
     candidates = _symbols(training)
     numbers = {w: k + 1 for k, w in enumerate(candidates)}
