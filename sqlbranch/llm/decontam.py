@@ -124,9 +124,22 @@ class Block:
                     rarest = rarest[(after < len(other)) & (other[np.minimum(after, len(other) - 1)] <= rarest + near)]
                     if not len(rarest):
                         break
-                for d in set((np.searchsorted(self.starts, rarest, "right") - 1).tolist()):
+                spread = [lists(t) for t in dict.fromkeys(terms)] if len(rarest) else []
+                close = [p for p in rarest.tolist() if self._within([x[np.searchsorted(x, p - near) : np.searchsorted(x, p + near, "right")] for x in spread], near)]
+                for d in set((np.searchsorted(self.starts, close, "right") - 1).tolist()):
                     self.near[d].update(query.items[w])
 
+    @staticmethod
+    def _within(places: list[np.ndarray], near: int) -> bool:
+        """Whether one place of each list can be chosen so that all lie at most `near` apart."""
+        marked = sorted((p, k) for k, x in enumerate(places) for p in x.tolist())
+        last: dict[int, int] = {}
+        for p, k in marked:
+            last[k] = p
+            if len(last) == len(places) and p - min(last.values()) <= near:
+                return True
+        return False
+
     def results(self, names: list[str]) -> dict[str, list]:
         total = np.r_[0, np.cumsum(self.hit)]
         n_hit = (total[self.starts + self.lengths] - total[self.starts]).tolist() if len(self.lengths) else []
@@ -211,7 +224,7 @@ def flag_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, near:
     """docs with n_words, n_hit (words inside a window of `width` words of an item, or of a whole shorter item), n_items and
     items (those with such windows), items_sha256, contaminated (n_hit > 0) and n_near_items.
 
-    n_near_items counts, besides those, the items of which some window has all its words within `near` words of its rarest one, in any order.
+    n_near_items counts, besides those, the items of which some window has all its words at most `near` places apart, in any order.
     The blocks are indexed and searched in one pass, and nothing is stored. A null text has no words; items without
     words are never found; an item_id that comes more than once counts once, a null one as an empty name. Repeated documents are judged
     alike; empty tables on either side give no rows or no hits. Existing columns of the new names are replaced.

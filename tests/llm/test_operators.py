@@ -327,10 +327,10 @@ def test_contamination_without_rows(odd, nothing, spark):
 
 
 def test_proximity(spark, make):
-    docs = make(["one gap two gap gap three four", "four three two one", "one two", "one " + "gap " * 40 + "two three four"])
+    docs = make(["one gap two gap gap three four", "four three two one", "one two", "one " + "gap " * 40 + "two three four", "one two " + "gap " * 9 + "four " + "gap " * 9 + "three"])
     items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     got = {r.doc_id: (r.n_items, r.n_near_items) for r in decontam.flag_contaminated(docs, items, near=15).collect()}
-    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0)}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
 
 
 # 8: BPE
