@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget
+
 #: Remembered pairs and pre-tokens in a worker; the memory is emptied when it is full.
-MAX_PAIRS, MAX_PIECES = 600_000, 250_000
+MAX_PAIRS, MAX_PIECES = 250_000, 200_000
 #: A rank file may be broadcast up to this size.
 MAX_VOCABULARY_BYTES = 32 << 20
 
@@ -38,7 +40,7 @@ class BytePairEncoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces_of = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.packed: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -56,7 +58,7 @@ class BytePairEncoder:
         return [ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
@@ -117,6 +119,7 @@ class BytePairEncoder:
 
 def worker_encoder(ranks: dict[bytes, int], key: str, pattern: str) -> BytePairEncoder:
     """One encoder for a worker process, kept from task to task with what it remembers."""
+    forget("_sqlbranch_trie")
     kept = sys.modules.setdefault("_sqlbranch_bpe", types.ModuleType("_sqlbranch_bpe"))
     if getattr(kept, "key", None) != (key, pattern):
         kept.key, kept.encoder = (key, pattern), BytePairEncoder(ranks, pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +17,25 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 128
 
 
+#: Rows of an Arrow batch. Rows here are whole documents, and both ends of the pipe to a Python worker hold a batch or two.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS where they are more, so that memory doesn't follow the length of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def forget(*names: str) -> None:
+    """Drops what tasks of other operators have kept in this worker process for tasks to come."""
+    for name in names or ("_sqlbranch_bpe", "_sqlbranch_trie"):
+        sys.modules.pop(name, None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,6 +77,7 @@ def as_bytes(column: str):
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
     """Columns of Python values, SLICE_ROWS rows at a time."""
+    forget()
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
@@ -86,7 +106,7 @@ class Interner(dict):
 class Hasher(dict):
     """Remembers the 64-bit hash of each word; forgets all when it has grown past its limit."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

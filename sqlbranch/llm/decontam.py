@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, as_bytes
+from .common import Hasher, as_bytes, forget
 
 #: A block is closed once it holds this many words; a longer document makes a block by itself.
 BLOCK_WORDS = 1 << 17
@@ -174,6 +174,7 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """The index of all words of all documents, a row for each block; write it, with small row groups, to search it often."""
 
     def index(batches):
+        forget()
         hashed = Hasher()
         ids, held, size = [], [], 0
 
@@ -234,6 +235,7 @@ def flag_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, near:
     names = docs.columns
 
     def flag(batches):
+        forget()
         hashed = Hasher()
         for batch in batches:
             at = 0

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import as_bytes, forget, stored
 from .graph import connected_components
 
 #: Fingerprints in the sample that bits are grouped and candidates estimated on.
@@ -56,6 +56,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> Da
 
     @F.arrow_udf("long")
     def fingerprints(column: pa.Array) -> pa.Array:
+        forget()
         out = [fingerprint(t) for at in range(0, len(column), 128) for t in column.slice(at, 128).to_pylist()]
         return pa.array(np.array(out, np.uint64).view(np.int64))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .bpe import MAX_VOCABULARY_BYTES, read_ranks
 
 #: Nodes of a worker's trie; it starts anew when it is full. Scores are logarithms in units of 2^-20.
-MAX_NODES, UNIT = 1_500_000, 1 << 20
+MAX_NODES, UNIT = 250_000, 1 << 20
 #: Cost of a byte that no token covers.
 UNKNOWN = 40 * UNIT
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, as_bytes, slices, stored
+from .common import Hasher, as_bytes, forget, slices, stored
 
 #: Symbols of the models, the one for other words included; two matrices of SYMBOLS x SYMBOLS counts are what the driver holds.
 SYMBOLS = 512
@@ -51,7 +51,7 @@ def symbols_of(words: list[bytes], numbers: dict[bytes, int]) -> list[int]:
     return [get(w) or get(w[:BEGINNING] + b"*", 0) for w in words]
 
 
-def _counted(training: DataFrame, key, left_of, limit: int = 400_000) -> DataFrame:
+def _counted(training: DataFrame, key, left_of, limit: int = 150_000) -> DataFrame:
     """word, left (hash of the word before), toxic, n: how often; tasks sum before they pass on."""
 
     def count(batches):
@@ -227,6 +227,7 @@ def score_toxicity(docs: DataFrame, models: Models, text: str = "text") -> DataF
 
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
+        forget()
         return pa.array([models.score(t) for at in range(0, len(column), 128) for t in column.slice(at, 128).to_pylist()], pa.float64())
 
     return docs.withColumn("score", scored(as_bytes(text)))
