@@ -192,6 +192,36 @@ def test_passages_are_linked_and_cut(make, prose):
     assert set(cut) == {0, 1, 3, 4, 5, 6, 7} and cut[0] == texts[0] and shared not in cut[3] and cut[3].split() == texts[3].replace(shared, "").split()
 
 
+def test_passages_of_documents_between_the_ends_of_their_groups(make, prose):
+    """Common lines of unrelated documents, around which others share a passage; held against all pairs."""
+    from sqlbranch.llm.common import Hasher
+
+    hot = [prose(12) for _ in range(8)]
+    mixed = lambda: " ".join(part for k in range(8) for part in (prose(14), hot[k]))
+    passage, drift = " ".join(part for k in range(4) for part in (prose(4), hot[k])), [prose(90).split()]
+    for k in range(8):
+        drift.append([w if not 10 * k <= i < 10 * k + 4 else f"new{k}x{i}" for i, w in enumerate(drift[-1])])
+    texts = [mixed() for _ in range(6)] + [prose(30) + " " + passage + " " + prose(30), prose(50) + " " + passage + " " + prose(20)] + [" ".join(d) for d in drift] + [mixed() for _ in range(6)]
+    hashed = Hasher()
+    shingles = [substring.shingles_of(t.encode(), hashed) for t in texts]
+    wanted = {(a, b) for a in range(len(texts)) for b in range(a) if substring.common_passages(shingles[a], shingles[b])}
+    label = list(range(len(texts)))
+    for a, b in sorted(wanted):
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    assert (7, 6) in wanted and (16, 8) not in wanted
+    got = {r.doc_id: r for r in substring.link_passages(make(texts)).collect()}
+    assert [got[k].class_id for k in range(len(texts))] == label
+    assert got[7].n_cut_words >= 60
+
+
+def test_links_count_all_copies(spark, prose):
+    passage, rest = prose(60), prose(80)
+    rows = [(k, passage) for k in range(5)] + [(7, passage + " " + prose(30)), (8, passage), (8, rest), (9, rest), (9, prose(90))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in substring.link_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{k: (0, 6) for k in range(5)}, 7: (0, 6), 8: (0, 7), 9: (0, 1)}
+
+
 def test_passages_on_odd_rows(odd, nothing, make, prose):
     got = substring.link_passages(odd)
     assert got.count() == 10 and got.filter("n_links > 0").count() == 0
