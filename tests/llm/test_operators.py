@@ -13,7 +13,7 @@ import pytest
 import regex
 
 from sqlbranch.llm import bpe, decontam, graph, html, quality, sharding, simhash, substring, token_counts, toxicity, urlfilter
-from sqlbranch.llm.common import Hasher
+from sqlbranch.llm.common import Hasher, shingle_hashes
 
 P = pytest.importorskip("public_tokenizers")
 VOCABULARY = P.path("byte_bpe_multi_50k.tiktoken")
@@ -171,6 +171,51 @@ def test_common_passages():
     assert substring.common_passages(a, b) == []
 
 
+def test_common_passages_as_a_search_of_all_windows():
+    """Words inserted, changed or dropped in either text, near the least similarity."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    shingles = lambda words: shingle_hashes(words, substring.SHINGLE)
+
+    def inserted(words, every, n):
+        parts = [words[k : k + every] for k in range(0, len(words), every)]
+        return np.concatenate([x for k, part in enumerate(parts) for x in ((fresh(n), part) if k else (part,))])
+
+    def similar(a, b):
+        """Whether any two windows are similar enough, by all of their pairs of starts and ends."""
+        best = 0.0
+        for i in range(0, len(a) - substring.SHORTEST + 1):
+            for j in range(i + substring.SHORTEST, len(a) + 1):
+                x = set(a[i:j].tolist())
+                hits = [k for k, v in enumerate(b.tolist()) if v in x]
+                for s in hits:
+                    for e in hits:
+                        if e - s + 1 >= substring.SHORTEST:
+                            y = set(b[s : e + 1].tolist())
+                            if len(y) * substring.SIMILARITY <= len(x) and len(x) * substring.SIMILARITY <= len(y):
+                                best = max(best, len(x & y) / len(x | y))
+            if best >= substring.SIMILARITY:
+                return True
+        return False
+
+    one, two = fresh(60), fresh(200)
+    for words, every, n in ((one, 30, 4), (two, 40, 3)):
+        for a, b in ((words, inserted(words, every, n)), (inserted(words, every, n), words)):
+            assert substring.common_passages(shingles(a), shingles(b)), (len(words), every, n)
+    parts = fresh(60), fresh(60)
+    a, b = np.concatenate(parts), np.concatenate([parts[1], fresh(40), parts[0]])
+    assert {(p, q) for p, q, _, _ in substring.common_passages(shingles(a), shingles(b))} == {(0, 55), (60, 115)}
+    agreed = 0
+    for _ in range(12):
+        words = fresh(int(rng.integers(52, 60)))
+        other = inserted(words, int(rng.integers(18, 40)), int(rng.integers(1, 5)))
+        a, b = shingles(words), shingles(other)
+        wanted = similar(a, b)
+        assert bool(substring.common_passages(a, b)) == wanted
+        agreed += wanted
+    assert 0 < agreed < 12
+
+
 def test_passages_are_linked_and_cut(make, prose):
     shared, edited = prose(80), None
     words = prose(120).split()
