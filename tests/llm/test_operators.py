@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
@@ -216,6 +217,16 @@ def test_common_passages_as_a_search_of_all_windows():
     assert 0 < agreed < 12
 
 
+def test_intervals_that_cross_are_all_kept():
+    at = lambda f, alo, blo: {"f": f, "alo": alo, "ahi": alo + 59, "blo": blo, "bhi": blo + 59}
+    twice = [at(0, 0, 0), at(0, 0, 500), at(1, 1, 1), at(1, 1, 501)]
+    assert set(substring.merge_intervals(twice)) == {(0, 60, 0, 60), (0, 60, 500, 560)}
+    near = [at(0, 0, 900), at(0, 10, 100), at(1, 5, 905), at(1, 12, 102), at(2, 300, 300)]
+    assert set(substring.merge_intervals(near)) == {(0, 64, 900, 964), (10, 71, 100, 161)}
+    chance = sum(math.comb(substring.FUNCTIONS, k) * 0.8**k * 0.2 ** (substring.FUNCTIONS - k) for k in range(substring.ENOUGH))
+    assert chance < 1e-4
+
+
 def test_passages_are_linked_and_cut(make, prose):
     shared, edited = prose(80), None
     words = prose(120).split()
