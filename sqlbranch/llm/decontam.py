@@ -111,19 +111,24 @@ class Block:
                 starts = starts[other[spot] == starts + k]
                 if not len(starts):
                     break
+            exact = set()
             if len(starts):
                 for start in starts.tolist():
                     self.hit[start : start + n] = True
-                for d in set((np.searchsorted(self.starts, starts, "right") - 1).tolist()):
+                exact = set((np.searchsorted(self.starts, starts, "right") - 1).tolist())
+                for d in exact:
                     self.found[d].update(query.items[w])
                     self.near[d].update(query.items[w])
-            elif near and n > 1:
+            if near and n > 1:
+                rarest = lists(terms[order[0]])
+                if exact:  # what has the window itself needs no second look
+                    rarest = rarest[~np.isin(np.searchsorted(self.starts, rarest, "right") - 1, list(exact))]
                 for k in order[1:]:
+                    if not len(rarest):
+                        break
                     other = lists(terms[k])
                     after = np.searchsorted(other, rarest - near)
                     rarest = rarest[(after < len(other)) & (other[np.minimum(after, len(other) - 1)] <= rarest + near)]
-                    if not len(rarest):
-                        break
                 spread = [lists(t) for t in dict.fromkeys(terms)] if len(rarest) else []
                 close = [p for p in rarest.tolist() if self._within([x[np.searchsorted(x, p - near) : np.searchsorted(x, p + near, "right")] for x in spread], near)]
                 for d in set((np.searchsorted(self.starts, close, "right") - 1).tolist()):

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import regex
 
-from sqlbranch.llm import bpe, decontam, graph, html, quality, sharding, simhash, substring, token_counts, toxicity, urlfilter
+from sqlbranch.llm import bpe, decontam, graph, html, quality, queries, sharding, simhash, substring, token_counts, toxicity, urlfilter
 from sqlbranch.llm.common import Hasher, shingle_hashes
 
 P = pytest.importorskip("public_tokenizers")
@@ -419,6 +419,22 @@ def test_proximity(spark, make):
     assert got == {0: (0, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
 
 
+def test_proximity_beside_an_exact_match(spark, make):
+    docs = make(["one two three four", "four three two one", "one gap two gap three gap four"])
+    items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    for parts in (1, 3):
+        got = {r.doc_id: (r.n_items, r.n_near_items) for r in decontam.flag_contaminated(docs.repartition(parts), items, near=15).collect()}
+        assert got == {0: (1, 1), 1: (0, 1), 2: (0, 1)}
+
+
+def test_registered_decontamination_returns_proximity(spark, prose, tmp_path):
+    words = prose(10).split()
+    spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, prose(20))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_items, r.n_near_items) for r in queries.op7_proximity(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 0)}
+
+
 # 8: BPE
 
 
