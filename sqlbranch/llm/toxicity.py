@@ -1,234 +1,331 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-A model of bigrams is learnt for each class of labelled documents. Its symbols are the words and word beginnings that tell the classes apart most and
-one symbol for all others, so a model is a matrix of known size. A word that is too rare for a symbol of its own has that of its beginning. Counts of a word are, as Kneser and Ney count for lower orders, of the distinct words
-that it follows, which keeps copies of one document from passing for evidence. Each class backs off from bigrams to its words, and from those to
-the counts that both classes share, which smooths rare expressions alike. A document scores by the log-likelihood ratio for
-each word, in its most suspicious passage of PASSAGE words, mapped to 0..1 by a logistic curve.
+Both models are learnt from the distinct texts of labelled documents, over all of their words. A word counts, as Kneser and Ney count for lower orders, once for each distinct word that it follows,
+so copies of a passage are no evidence; pairs of words count by their occurrences. Each count is discounted by what the counts that both classes share predict of it and
+by DISCOUNT standard errors, and what is left is added to the shared distribution. A rare word thus has its share in the counts of its beginning (of six, five and four bytes, below a
+root for all words), and pairs of which neither class has more than their words explain back off to those. A text scores by its length-normalised log-likelihood ratio, of the whole and of its most suspicious
+passages of some lengths, mapped to 0..1 by a logistic curve that is fitted on texts that the models haven't seen.
+
+Notation: c is a class (1 toxic, 0 ordinary), x0 and x1 are the counts of a child, m0 and m1 those of its parent; share = (x0 + x1) / (m0 + m1), the expected count is
+m_c * share, e_c is x_c less that, brought nearer to 0 by DISCOUNT * (1 + root of the expected count), and p_c(child | parent) is share + e_c / m_c, normalised over the children.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, as_bytes, forget, slices, stored
-
-#: Symbols of the models, the one for other words included; two matrices of SYMBOLS x SYMBOLS counts are what the driver holds.
-SYMBOLS = 512
-#: A word is a symbol if it has so many distinct left neighbours, and its log-likelihood ratio statistic is so high.
-MIN_CONTEXTS, MIN_EVIDENCE = 6, 20.0
-#: Kneser-Ney's discount, and the words of the passage that scores are normalised over.
-DISCOUNT, PASSAGE = 0.75, 64
-#: Share of each class's distribution that comes from the counts of both. The discounts of all rare words would add up to about this, but those words
-#: have one symbol, so it is stated.
-BACKOFF = 0.1
-#: Bytes of a word's beginning.
-BEGINNING = 6
-#: Training rows that the logistic curve is fitted on.
+from .common import as_bytes, slices, stored
+
+#: Standard errors of a count, by which it is discounted.
+DISCOUNT = 3.0
+#: Bytes of the beginnings of words, and words of the passages that a text is normalised over besides the whole.
+BEGINNINGS, PASSAGES = (4, 5, 6), (4, 16, 64)
+#: Labelled texts that the logistic curve is fitted on, about; at most an eighth of all. The models are counted over all others.
 CURVE_ROWS = 4000
+#: Weights (16 bytes each) in a part of the models. Parts are collected, broadcast and looked up one after another, so memory doesn't follow their number.
+PART_WEIGHTS = 2 << 20
+#: Words that a worker keeps between texts, and tokens that a task gathers before it counts them.
+KEPT_WORDS, GATHERED = 200_000, 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: A text's first word follows this one.
+_START = b""
 
 
 def words_of(text: bytes) -> list[bytes]:
+    """Runs of letters (A-Z lower-cased), digits and non-ASCII characters."""
     return _WORD.findall(text.translate(_LOWER))
 
 
-def beginning(word: bytes) -> bytes:
-    return word[:BEGINNING] + b"*"
+def numbers_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and longest beginning of each word, the latter as a number of six bytes, zeros after a shorter word."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    longest = BEGINNINGS[-1]
+    begun = np.fromiter((int.from_bytes(w[:longest].ljust(longest, b"\0"), "big") for w in words), np.uint64, len(words))
+    return hashes, begun
+
 
+def _rotated(x, bits: int):
+    """Of 64 bits; x is an array or a column."""
+    if isinstance(x, np.ndarray):
+        return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits))
 
-def symbols_of(words: list[bytes], numbers: dict[bytes, int]) -> list[int]:
-    """The number of each word, else of its beginning, else 0."""
-    get = numbers.get
-    return [get(w) or get(w[:BEGINNING] + b"*", 0) for w in words]
 
+def _tagged(begun, k: int):
+    """Key of the beginning k of a word, from its longest one."""
+    bits = 8 * (BEGINNINGS[-1] - BEGINNINGS[k])
+    if isinstance(begun, np.ndarray):
+        return begun >> np.uint64(bits) | np.uint64((k + 1) << 48)
+    return F.shiftright(begun, bits).bitwiseOR(F.lit((k + 1) << 48))
 
-def _counted(training: DataFrame, key, left_of, limit: int = 150_000) -> DataFrame:
-    """word, left (hash of the word before), toxic, n: how often; tasks sum before they pass on."""
+
+def _pair_counts(training: DataFrame) -> DataFrame:
+    """left, word (hashes), begun (the word's longest beginning), n0 and n1: occurrences of each pair of words in each class. Tasks sum before they pass on."""
 
     def count(batches):
-        held: Counter = Counter()
-        hashed = Hasher()
+        numbers: dict[bytes, int] = {_START: 0}
+        held: list[np.ndarray] = []
+        size = 0
 
         def flushed():
-            rows = list(held.items())
+            nonlocal size
+            hashes, begun = numbers_of(list(numbers))
+            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+            toxic = (pairs & 1).astype(bool)
+            left, word = hashes[pairs >> 32], pairs >> 1 & 0x7FFFFFFF
+            columns = [left.view(np.int64), hashes[word].view(np.int64), begun[word].view(np.int64), np.where(toxic, 0, counts), np.where(toxic, counts, 0)]
+            for at in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], names=["left", "word", "begun", "n0", "n1"])
+            numbers.clear()
+            numbers[_START] = 0
             held.clear()
-            for at in range(0, len(rows), 50_000):
-                part = rows[at : at + 50_000]
-                arrays = [pa.array([k[0] for k, _ in part], pa.binary()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([k[2] for k, _ in part], pa.int64()), pa.array([k[3] for k, _ in part], pa.int32()), pa.array([n for _, n in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["word", "left", "symbol", "toxic", "n"])
+            size = 0
 
         for texts, classes in slices(batches):
             for body, toxic in zip(texts, classes):
-                held.update(key(words_of(body), toxic, left_of(hashed)))
-            if len(held) > limit:
-                yield from flushed()
-        yield from flushed()
+                words = words_of(body)
+                for w in words:
+                    if w not in numbers:
+                        numbers[w] = len(numbers)
+                ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                held.append(np.r_[0, ids[:-1]][: len(ids)] << 32 | ids << 1 | toxic)
+                size += len(ids)
+                if size > GATHERED:
+                    yield from flushed()
+        if size:
+            yield from flushed()
+
+    counted = training.select("text", "toxic").mapInArrow(count, "left long, word long, begun long, n0 long, n1 long")
+    return counted.groupBy("left", "word", "begun").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _excess(x: str, expected):
+    """The count x less what is expected, nearer to 0 by the discount."""
+    apart = F.col(x) - expected
+    return F.signum(apart) * F.greatest(F.abs(apart) - DISCOUNT * (1 + F.sqrt(expected)), F.lit(0.0))
+
+
+def _per(x, m: str):
+    return F.when(F.col(m) > 0, x / F.col(m)).otherwise(0.0)
 
-    counted = training.select("text", "toxic").mapInArrow(count, "word binary, left long, symbol long, toxic int, n long")
-    return counted
 
+def _level(kids: DataFrame, parent: str) -> DataFrame:
+    """kids (child, parent, x0, x1) with p0 and p1, their probabilities given the parent, and marked: whether a class differs from the other."""
+    parents = kids.groupBy(parent).agg(F.sum("x0").alias("m0"), F.sum("x1").alias("m1"))
+    share = (F.col("x0") + F.col("x1")) / (F.col("m0") + F.col("m1"))
+    each = kids.join(parents, parent).withColumn("share", share).withColumns({f"e{c}": _excess(f"x{c}", F.col("share") * F.col(f"m{c}")) for c in (0, 1)})
+    totals = each.filter("e0 != 0 OR e1 != 0").groupBy(parent).agg(*(F.sum(_per(F.col(f"e{c}"), f"m{c}")).alias(f"z{c}") for c in (0, 1)))
+    out = each.join(totals, parent, "left").withColumn("marked", F.expr("e0 != 0 OR e1 != 0"))
+    return out.withColumns({f"p{c}": (F.col("share") + _per(F.col(f"e{c}"), f"m{c}")) / (1 + F.coalesce(f"z{c}", F.lit(0.0))) for c in (0, 1)})
 
-def _signed(hashed: Hasher):
-    return lambda word: hashed[word] - (1 << 64) if hashed[word] >> 63 else hashed[word]
 
+def _ratio(one, zero):
+    return F.log(one) - F.log(zero)
 
-def _symbols(training: DataFrame) -> list[bytes]:
-    """The words and beginnings that tell the classes apart, best first."""
 
-    def documents(words, toxic, _):
-        distinct = set(words)
-        return [(w, 0, 0, toxic) for w in distinct.union(map(beginning, distinct))]
+def model_weights(training: DataFrame) -> DataFrame:
+    """key, weight: what tokens add to a log-likelihood ratio, by their beginnings, words, words before them, and pairs. Key 0 is what each token adds.
 
-    per_class = _counted(training, documents, lambda h: None).groupBy("word").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
-    totals = training.groupBy("toxic").count().collect()
-    rows = {r[0]: r[1] for r in totals}
-    n0, n1 = float(rows.get(0, 0)), float(rows.get(1, 0))
-    if not n0 or not n1:
-        return []
-    # G-test on documents that hold the word; signed rows of the table cancel where the shares agree
-    both = F.col("n0") + F.col("n1")
-    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    share = both / (n0 + n1)
-    g = 2 * (term(F.col("n0"), share * n0) + term(F.col("n1"), share * n1) + term(n0 - F.col("n0"), (1 - share) * n0) + term(n1 - F.col("n1"), (1 - share) * n1))
-    ranked = per_class.filter(both >= MIN_CONTEXTS).withColumn("g", g).filter(F.col("g") >= MIN_EVIDENCE)
-    return [bytes(r[0]) for r in ranked.orderBy(F.col("g").desc(), "word").limit(SYMBOLS * 4).select("word").collect()]
+    training: distinct texts with toxic (0 or 1). What isn't listed adds nothing.
+    """
+    pairs = _pair_counts(training)
+    none = F.lit(0).cast("long")
+    of = lambda kind, a, b, x0, x1: (F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), x0.cast("long").alias("x0"), x1.cast("long").alias("x1"))
+    # the same exchange feeds all three, so the texts are read once
+    words = pairs.groupBy("word", "begun").agg(*of("word", F.max("word"), F.max("begun"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0))).drop("word", "begun")
+    heads = pairs.groupBy("left").agg(*of("head", F.max("left"), F.max(none), F.sum("n0"), F.sum("n1"))).drop("left")
+    often = pairs.filter(F.col("n0") + F.col("n1") > DISCOUNT).select(*of("pair", F.col("left"), F.col("word"), F.col("n0"), F.col("n1")))
+    counts = stored(words.unionByName(heads).unionByName(often), "toxicity-counts")
+    words = counts.filter("kind = 'word'").select(F.col("a").alias("word"), F.col("b").alias("begun"), "x0", "x1")
+    heads = counts.filter("kind = 'head'").select(F.col("a").alias("left"), F.col("x0").alias("m0"), F.col("x1").alias("m1"))
+    often = counts.filter("kind = 'pair'").select(F.col("a").alias("left"), F.col("b").alias("word"), "x0", "x1")
+
+    names = ["root", *(f"b{k}" for k in range(len(BEGINNINGS))), "word"]
+    chain = words.withColumns({"root": none} | {f"b{k}": _tagged(F.col("begun"), k) for k in range(len(BEGINNINGS))})
+    levels, weights = [], None
+    for parent, child in zip(names, names[1:]):
+        kids = chain.groupBy(child, parent).agg(F.sum("x0").alias("x0"), F.sum("x1").alias("x1"))
+        level = stored(_level(kids, parent).select(child, parent, "share", "marked", "e0", "e1", "z0", "z1", "p0", "p1"), f"toxicity-{child}")
+        levels.append(level)
+        marked = level.filter("marked")
+        total = lambda c: 1 + F.coalesce(f"z{c}", F.lit(0.0))
+        norms = marked.groupBy(parent).agg(F.max(_ratio(total(0), total(1))).alias("weight")).select(F.col(parent).alias("key"), "weight")
+        own = marked.select(F.col(child).alias("key"), (_ratio(F.col("p1"), F.col("p0")) - _ratio(total(0), total(1))).alias("weight"))
+        weights = own.unionByName(norms) if weights is None else weights.unionByName(own).unionByName(norms)
+
+    # log-probabilities of the words of frequent pairs, down the chain
+    logs = chain.join(often.select("word").distinct(), "word", "left_semi").select(*names[1:], F.lit(0.0).alias("l0"), F.lit(0.0).alias("l1"))
+    for level, child in zip(levels, names[1:]):
+        logs = logs.join(level.select(child, "p0", "p1"), child).withColumns({f"l{c}": F.col(f"l{c}") + F.log(f"p{c}") for c in (0, 1)}).drop("p0", "p1")
+    met = often.join(heads, "left").join(logs.select("word", "l0", "l1"), "word")
+    # what the words explain of the difference between the classes is no difference of the pair
+    by_words = [F.col(f"m{c}") * F.exp(f"l{c}") for c in (0, 1)]
+    explained = [(F.col("x0") + F.col("x1")) * w / (by_words[0] + by_words[1]) for w in by_words]
+    marked = met.filter((_excess("x0", explained[0]) != 0) | (_excess("x1", explained[1]) != 0)).withColumn("share", (F.col("x0") + F.col("x1")) / (F.col("m0") + F.col("m1")))
+    marked = marked.withColumns({f"p{c}": F.col("share") + _per(_excess(f"x{c}", F.col("share") * F.col(f"m{c}")), f"m{c}") for c in (0, 1)})
+    per_head = marked.groupBy("left").agg(*(x for c in (0, 1) for x in (F.sum(f"p{c}").alias(f"s{c}"), F.sum(F.exp(f"l{c}")).alias(f"b{c}"), F.max(f"m{c}").alias(f"h{c}"))))
+    per_head = per_head.withColumns({f"z{c}": F.greatest(F.lit(1.0), F.col(f"s{c}") + 1 / (F.col(f"h{c}") + 1)) for c in (0, 1)})
+    left_over = [(1 - F.col(f"s{c}") / F.col(f"z{c}")) / F.greatest(1 - F.col(f"b{c}"), F.lit(1e-9)) for c in (0, 1)]
+    per_head = per_head.select("left", "z0", "z1", _ratio(left_over[1], left_over[0]).alias("rest"))
+    before = per_head.select(_rotated(F.col("left"), 7).alias("key"), F.col("rest").alias("weight"))
+    after = _ratio(F.col("p1") / F.col("z1"), F.col("p0") / F.col("z0")) - (F.col("l1") - F.col("l0")) - F.col("rest")
+    both = marked.join(per_head, "left").select(F.col("left").bitwiseXOR(_rotated(F.col("word"), 21)).alias("key"), after.alias("weight"))
+    return weights.unionByName(before).unionByName(both).groupBy("key").agg(F.sum("weight").alias("weight"))
 
 
 class Models:
-    """Log-likelihood ratio (toxic over ordinary) of each symbol after each symbol. symbols: word -> number, from 1; 0 is any other word."""
-
-    def __init__(self, symbols: dict[bytes, int], ratio: np.ndarray, slope: float = 1.0, offset: float = 0.0):
-        self.symbols, self.ratio, self.slope, self.offset = symbols, ratio, slope, offset
-
-    def evidence(self, text: bytes) -> float:
-        """The highest mean ratio of a passage; of the whole text if that is shorter; 0 without words."""
-        words = words_of(text)
-        if not words:
-            return 0.0
-        ids = np.array(symbols_of(words, self.symbols), np.int64)
-        ratios = self.ratio[np.r_[0, ids[:-1]], ids]
-        if len(ratios) <= PASSAGE:
-            return float(ratios.sum()) / PASSAGE
-        sums = np.cumsum(np.r_[0.0, ratios])
-        return float((sums[PASSAGE:] - sums[:-PASSAGE]).max()) / PASSAGE
+    """Log-likelihood ratio (toxic over ordinary) of texts. parts: sorted keys with their weights, as pairs of arrays or broadcasts of such."""
+
+    def __init__(self, parts: list, weights: np.ndarray | None = None, offset: float = -1.0):
+        self.parts, self.weights, self.offset = parts, np.zeros(len(PASSAGES) + 1) if weights is None else weights, offset
+        self._forget()
+
+    def __getstate__(self):
+        return self.parts, self.weights, self.offset
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.hashes, self.alone, self.before, self.leads = (np.zeros(0, kind) for kind in (np.uint64, float, float, bool))
+        self._take([_START])
+
+    def looked_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of each key, 0 if it isn't listed, and whether it is."""
+        out, there = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        for part in self.parts:
+            listed, weights = part if isinstance(part, tuple) else part.value
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+                found = listed[at] == keys
+                out[found] = weights[at[found]]
+                there |= found
+            if len(self.parts) > 1 and not isinstance(part, tuple):
+                del part._value  # it stays in the executor's file
+        return out, there
+
+    def _take(self, words: list[bytes]) -> None:
+        """Looks up all that a word adds by itself and as the one before another."""
+        for w in words:
+            self.numbers[w] = len(self.numbers)
+        hashes, begun = numbers_of(words)
+        keys = [np.zeros(len(words), np.uint64), hashes, *(_tagged(begun, k) for k in range(len(BEGINNINGS)))]
+        alone = sum(self.looked_up(k)[0] for k in keys)
+        before, leads = self.looked_up(_rotated(hashes, 7))
+        self.hashes, self.alone, self.before, self.leads = (np.concatenate(x) for x in ((self.hashes, hashes), (self.alone, alone), (self.before, before), (self.leads, leads)))
+
+    def ratios(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The log-likelihood ratio of each word of each text, given the one before it."""
+        if len(self.numbers) > KEPT_WORDS:
+            self._forget()
+        split = [words_of(t) for t in texts]
+        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.numbers))
+        if fresh:
+            self._take(fresh)
+        lengths = np.array([len(ws) for ws in split], np.int64)
+        ids = np.fromiter((self.numbers[w] for ws in split for w in ws), np.int64, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        left = np.r_[0, ids[:-1]][: len(ids)]
+        left[(ends - lengths)[lengths > 0]] = 0
+        out = self.alone[ids] + self.before[left]
+        at = np.flatnonzero(self.leads[left])
+        out[at] += self.looked_up(self.hashes[left[at]] ^ _rotated(self.hashes[ids[at]], 21))[0]
+        return np.split(out, ends[:-1]) if len(ends) else []
+
+    def evidence(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the highest mean ratio of a passage of each length (of the whole text if that is shorter), then that of the whole; 0 without words."""
+        out = np.zeros((len(texts), len(PASSAGES) + 1))
+        for row, ratios in zip(out, self.ratios(texts)):
+            n = len(ratios)
+            if n:
+                sums = np.cumsum(np.r_[0.0, ratios])
+                row[:] = [(sums[k:] - sums[: n + 1 - k]).max() / k for k in (min(n, length) for length in (*PASSAGES, n))]
+        return out
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.evidence(texts) @ self.weights + self.offset, -30, 30)))
 
     def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.evidence(text) + self.offset, -30, 30))))
+        return float(self.scores([text])[0])
 
 
-def _kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """counts[c][h][w] -> log p_c(w | h), with words backing off to the counts of both classes."""
-    n = len(counts[0])
-    pooled = counts.sum(axis=(0, 1))
-    shared = (pooled + 1.0) / (pooled.sum() + n)
+def _parts(weights: DataFrame) -> list:
+    """Broadcasts of at most about PART_WEIGHTS weights each, by the remainder of the key."""
+    n = -(-weights.count() // PART_WEIGHTS) or 1
     out = []
-    for c in counts:
-        words = c.sum(axis=0)
-        total = max(words.sum(), 1.0)
-        low = np.maximum(words - DISCOUNT, 0) / total
-        low = low * (1 - BACKOFF) / low.sum() + BACKOFF * shared if low.any() else shared
-        rows = np.maximum(c.sum(axis=1, keepdims=True), 1.0)
-        high = np.maximum(c - DISCOUNT, 0) / rows
-        high = high + np.maximum(1 - high.sum(axis=1, keepdims=True), 0.0) * low
-        out.append(np.log(high))
-    return np.array(out)
+    for k in range(n):
+        table = weights.filter(F.pmod("key", F.lit(n)) == k).toArrow()
+        keys = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        part = keys[order], table.column("weight").to_numpy()[order]
+        out.append(weights.sparkSession.sparkContext.broadcast(part) if n > 1 else part)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Models:
-    """Models of all labelled documents. Labels of one document that differ count as toxic; null labels are none.
+    """Models of all labelled documents. Labels of one document or of equal texts that differ count as toxic; null labels are none, and neither are null doc_ids.
 
-    Without documents of both classes every ratio is 0 and every score 0.5 or less.
+    Equal texts count once. Without documents of both classes there is no evidence, and every score is less than 0.5.
     """
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
     # labels grow with the documents, so neither side is ever broadcast
     joined = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("text")).join(marks.hint("merge"), "_id")
-    training = stored(joined.select("_id", "text", "toxic"), "toxicity")
-    candidates = _symbols(training)
-    numbers = {w: k + 1 for k, w in enumerate(candidates)}
-
-    def contexts(words, toxic, signed):
-        before, out, earlier = 0, [], b""
-        for w, symbol in zip(words, symbols_of(words, numbers)):
-            if symbol:
-                out.append((b"", signed(earlier), before * (len(numbers) + 1) + symbol, toxic))
-            before, earlier = symbol, w
-        return out
+    once = joined.groupBy(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size")).agg(F.max("toxic").alias("toxic"), F.any_value("text").alias("text"))
+    training = stored(once.select("hash", "toxic", "text"), "toxicity")
+    n = training.count()
+    share = min(1 / 8, CURVE_ROWS / max(n, 1))
+    sampled = F.pmod(F.xxhash64("hash", F.lit(3)), F.lit(1 << 31)) < round(share * (1 << 31))
+    weights = stored(model_weights(training.filter(~sampled)), "toxicity-weights")
+    models = Models(_parts(weights))
+    names = [f"e{k}" for k in range(len(PASSAGES) + 1)]
+
+    def measured(batches):
+        for texts, classes in slices(batches):
+            found = models.evidence(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), *(pa.array(c) for c in found.T)], names=["toxic", *names])
 
-    pairs = _counted(training, contexts, _signed).groupBy("left", "symbol", "toxic").agg(F.lit(1).alias("one"))
-    size = len(numbers) + 1
-    seen = pairs.groupBy((F.col("symbol") % size).alias("w"), "toxic").agg(F.countDistinct("left").alias("n")).collect()
-    left = Counter()
-    for w, c, n in seen:
-        left[w] += n
-    kept = [w for w in candidates if left[numbers[w]] >= MIN_CONTEXTS][: SYMBOLS - 1]
-    place = np.zeros(size, np.int64)
-    for k, w in enumerate(kept):
-        place[numbers[w]] = k + 1
-    n = len(kept) + 1
-    counts = np.zeros((2, n, n))
-    bigrams = pairs.groupBy("symbol", "toxic").agg(F.count("*").alias("n"))
-    for symbol, c, k in bigrams.filter(((F.col("symbol") % size).isin([numbers[w] for w in kept])) if kept else F.lit(False)).collect():
-        counts[c, place[symbol // size], place[symbol % size]] += k
-    lengths = training.select("toxic", F.octet_length("text").alias("size")).groupBy("toxic").agg(F.sum("size")).collect()
-    for c, size_c in lengths:  # other words: about one in 6 bytes of text
-        words = max(0.0, size_c / 6 - counts[c].sum())
-        before = counts[c].sum(axis=0)
-        before[0] = max(0.0, words - before[1:].sum())
-        counts[c, :, 0] += before
-    logs = _kneser_ney(counts)
-    ratio = logs[1] - logs[0]
-    ratio[:, 0] = np.minimum(ratio[:, 0], 0.0)  # a word of no class is no evidence for toxicity
-    models = Models({w: k + 1 for k, w in enumerate(kept)}, ratio)
-    sample = training.filter("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(CURVE_ROWS)
-    points = sample.mapInArrow(_evidence_of(models), "toxic int, evidence double").collect()
-    models.slope, models.offset = _curve(np.array([p[1] for p in points]), np.array([p[0] for p in points], float))
+    points = training.filter(sampled).select("text", "toxic").mapInArrow(measured, "toxic int, " + ", ".join(f"{c} double" for c in names)).collect()
+    models.weights, models.offset = _curve(np.array([p[1:] for p in points]).reshape(-1, len(names)), np.array([p[0] for p in points], float))
     return models
 
 
-def _evidence_of(models: Models):
-    def run(batches):
-        for _, texts, classes in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array([models.evidence(t) for t in texts], pa.float64())], names=["toxic", "evidence"])
-
-    return run
-
-
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of a logistic curve, by Newton's steps with a little shrinkage."""
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic curve, with both classes of equal weight, by Newton's steps with a little shrinkage. Without both classes, the mean ratio alone counts."""
     if not len(x) or y.min() == y.max():
-        return 1.0, -1.0
-    scale = float(x.std()) or 1.0
-    a, b = np.c_[x / scale, np.ones(len(x))], np.zeros(2)
-    for _ in range(50):
+        return np.r_[np.zeros(x.shape[1] - 1), 1.0], -1.0
+    middle, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a, b = np.c_[(x - middle) / scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        hessian = a.T @ (a * (p * (1 - p))[:, None]) + 0.05 * np.eye(2)
-        step = np.linalg.solve(hessian, a.T @ (y - p) - 0.05 * b)
+        hessian = a.T @ (a * (weight * p * (1 - p))[:, None]) + 0.05 * np.eye(len(b))
+        step = np.linalg.solve(hessian, a.T @ (weight * (y - p)) - 0.05 * b)
         b = b + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
-    return max(float(b[0]), 1e-3) / scale, float(b[1])
+    return b[:-1] / scale, float(b[-1] - (b[:-1] * middle / scale).sum())
 
 
 def score_toxicity(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """docs with score (0 to 1). Null and empty texts have no evidence either way; nothing but the text counts.
 
-    Repeated rows score alike; an empty table gives an empty table; an existing column score is replaced.
+    A text of any length is scored as a whole. Repeated rows score alike; an empty table gives an empty table; an existing column score is replaced.
     """
     docs = docs.drop("score")
 
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
-        forget()
-        return pa.array([models.score(t) for at in range(0, len(column), 128) for t in column.slice(at, 128).to_pylist()], pa.float64())
+        step = 128 if len(models.parts) == 1 else len(column)
+        return pa.array(np.concatenate([np.empty(0), *(models.scores(column.slice(at, step).to_pylist()) for at in range(0, len(column), step))]))
 
     return docs.withColumn("score", scored(as_bytes(text)))
 
