@@ -1,6 +1,6 @@
 """What some queries return, in DuckDB's SQL. The others merge, link, learn or sample in ways that SQL has no expression for; tests hold those against plain versions."""
 
-from .quality import COMMON_BYTES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS
+from .quality import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -28,9 +28,9 @@ class_distance AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p *
 words AS (SELECT doc_id, lang, n_words, unnest(low) AS word FROM failed),
 totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
 top AS (SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, encode(word)) AS r
-        FROM words WHERE strlen(word) <= {COMMON_BYTES} GROUP BY lang, word) WHERE r <= {COMMON_WORDS}),
+        FROM words GROUP BY lang, word) WHERE r <= {COMMON_WORDS}),
 ref AS (SELECT t.lang, t.word, CAST(t.n AS DOUBLE) / totals.n AS q FROM top t JOIN totals USING (lang)),
-seen AS (SELECT doc_id, lang, word, CAST(count(*) AS DOUBLE) / any_value(n_words) AS p FROM words WHERE n_words >= {MIN_WORDS} AND word IN (SELECT word FROM top) GROUP BY doc_id, lang, word),
+seen AS (SELECT doc_id, lang, word, CAST(count(*) AS DOUBLE) / any_value(n_words) AS p FROM words WHERE n_words >= {MIN_WORDS} AND (lang, word) IN (SELECT (lang, word) FROM top) GROUP BY doc_id, lang, word),
 parts AS (SELECT doc_id, lang, word, p, 0.0::DOUBLE AS q FROM seen UNION ALL SELECT f.doc_id, r.lang, r.word, 0.0, r.q FROM failed f JOIN ref r USING (lang) WHERE f.n_words >= {MIN_WORDS}),
 both_sides AS (SELECT doc_id, lang, word, sum(p) AS p, sum(q) AS q FROM parts GROUP BY doc_id, lang, word),
 rest AS (SELECT * FROM both_sides UNION ALL SELECT doc_id, lang, NULL, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM both_sides GROUP BY doc_id, lang),

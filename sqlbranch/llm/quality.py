@@ -14,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Interner, as_bytes, per_row, slices
+from .common import Interner, as_bytes, per_row, slices, stored
 
 #: A document needs so many words.
 MIN_WORDS = 50
 #: Largest distances from the language's reference that are kept.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.5
-#: Frequent words of a language; a frequent word has at most so many bytes.
-COMMON_WORDS, COMMON_BYTES = 64, 10
-#: Languages whose references may be broadcast, about 3 kB each; documents are joined with theirs where there are more.
-MAX_LANGUAGES = 2000
+#: Frequent words of a language.
+COMMON_WORDS = 64
+#: References may be broadcast up to so many languages and bytes of their words; documents are joined with theirs where there is more, which gives the same.
+MAX_LANGUAGES, MAX_REFERENCE_BYTES = 2000, 8 << 20
 
 #: Character classes: lower-case, upper-case, digits, white space, symbols, other ASCII, the rest.
 CLASSES = 7
@@ -90,13 +90,16 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     def count(batches):
         words: dict[object, Counter] = {}
         classes: dict[object, np.ndarray] = {}
+        size = 0
 
         def flushed():
-            rows = [(key, 1, w, n) for key, c in words.items() for w, n in c.items() if len(w) <= COMMON_BYTES]
+            rows = [(key, 1, w, n) for key, c in words.items() for w, n in c.items()]
             rows += [(key, 2, b"", sum(c.values())) for key, c in words.items()]
             rows += [(key, 0, b"%d" % k, int(n)) for key, c in classes.items() for k, n in enumerate(c)]
             words.clear()
             classes.clear()
+            nonlocal size
+            size = 0
             for at in range(0, len(rows), 50_000):
                 part = list(zip(*rows[at : at + 50_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, schema)], schema=schema)
@@ -105,7 +108,8 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
             for body, key in zip(texts, langs):
                 words.setdefault(key, Counter()).update(body.translate(_LOWER).split())
                 classes[key] = classes.get(key, 0) + class_counts(body)
-            if sum(map(len, words.values())) > 300_000:
+                size += len(body)
+            if sum(map(len, words.values())) > 300_000 or size > 64 << 20:
                 yield from flushed()
         yield from flushed()
 
@@ -123,17 +127,13 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
 
 
 class Judge:
-    """Measures texts against one set of references."""
+    """Measures texts against references by language: (classes, words, shares). A text is compared over the common words of its own language, all others counting as one."""
 
     def __init__(self, references: dict[str, tuple[list[int], list[bytes], list[float]]]):
-        self.index = {w: k for k, w in enumerate(dict.fromkeys(w for _, words, _ in references.values() for w in words))}
         self.references = {}
         for key, (classes, words, shares) in references.items():
-            spread = np.zeros(len(self.index) + 1)
-            spread[[self.index[w] for w in words]] = shares
-            spread[-1] = max(0.0, 1 - sum(shares))
-            self.references[key] = np.array(classes, float), spread
-        self.ids, self.common = Interner(), Counter()
+            self.references[key] = np.array(classes, float), {w: k for k, w in enumerate(words)}, np.array([*shares, max(0.0, 1 - sum(shares))])
+        self.ids = Interner()
 
     def __call__(self, text: bytes, lang: str, *_) -> tuple:
         words, counts = text.split(), class_counts(text)
@@ -144,10 +144,10 @@ class Judge:
         failed = n < MIN_WORDS or 100 * repeats > 50 * n
         by_class = by_word = None
         if n >= MIN_WORDS and lang in self.references:
-            classes, spread = self.references[lang]
-            other, found = len(self.index), np.zeros(len(self.index) + 1)
+            classes, index, spread = self.references[lang]
+            found = np.zeros(len(spread))
             for w, k in Counter(text.translate(_LOWER).split()).items():
-                found[self.index.get(w, other)] += k
+                found[index.get(w, -1)] += k
             by_class, by_word = jensen_shannon(counts.astype(float), classes), jensen_shannon(found, spread)
         kept = not failed and not (by_class or 0) > MAX_CLASS_DISTANCE and not (by_word or 0) > MAX_WORD_DISTANCE
         return n, int(counts.sum() - counts[3]), int(counts[4]), duplicate_lines(text), repeats, failed, kept, by_class, by_word
@@ -158,19 +158,19 @@ _DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 
 def judge_quality(docs: DataFrame, references: DataFrame | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """key, the base counts, base_failed, kept, and the two distances (null for fewer than MIN_WORDS words) of each document.
+    """key, the base counts, base_failed, kept, and the two distances of each document (null for fewer than MIN_WORDS words, or in a language without a reference).
 
-    kept is false if the base rules fail or a distance exceeds its limit. A null text has no words, a null language is one of its own. Repeated rows are
-    judged alike; an empty table gives an empty table; other columns are left out.
+    kept is false if the base rules fail or a distance exceeds its limit. A null text has no words, a null language is the same as an empty one. key may be of any type and null.
+    Repeated rows and ties are judged alike; texts of any length are judged as a whole; an empty table gives an empty table; other columns are left out, whatever their names.
     """
-    references = language_references(docs, text, lang) if references is None else references
-    rows = references.limit(MAX_LANGUAGES + 1).collect()
+    references = stored(language_references(docs, text, lang), "quality-references") if references is None else references
+    size = references.agg(F.count("*"), F.sum(F.expr("aggregate(words, 0L, (n, w) -> n + octet_length(w))"))).first()
     wanted = docs.select(F.col(key), as_bytes(text).alias("_text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"))
     kind = wanted.schema[0].dataType
     schema = pa.schema([wanted.select(F.col(key)).limit(0).toArrow().schema.field(0), *_SCHEMA])
     ddl = f"`{key}` {kind.simpleString()}, {_DDL}"
-    if len(rows) <= MAX_LANGUAGES:
-        plain = {r[0]: (list(r[1]), [bytes(w) for w in r[2]], list(r[3])) for r in rows}
+    if size[0] <= MAX_LANGUAGES and (size[1] or 0) <= MAX_REFERENCE_BYTES:
+        plain = {r[0]: (list(r[1]), [bytes(w) for w in r[2]], list(r[3])) for r in references.collect()}
 
         def judge(batches):
             measure = Judge(plain)
@@ -180,9 +180,10 @@ def judge_quality(docs: DataFrame, references: DataFrame | None = None, text: st
 
     def judge_joined(batches):
         def one(k, t, la, classes, words, shares):
-            return k, *Judge({la: (classes, words, shares)})(t, la)
+            return k, *Judge({} if classes is None else {la: (classes, words, shares)})(t, la)
 
         yield from per_row(one, schema)(batches)
 
-    joined = wanted.join(references.withColumnRenamed("lang", "_lang"), "_lang").select(key, "_text", "_lang", "classes", "words", "shares")
+    by_lang = references.select(F.col("lang").alias("_lang"), "classes", "words", "shares")
+    joined = wanted.join(by_lang, "_lang", "left").select(F.col(key), "_text", "_lang", "classes", "words", "shares")
     return joined.mapInArrow(judge_joined, ddl)
