@@ -21,6 +21,8 @@ RAW_TAGS = "script|style|noscript|template|textarea|svg|math|iframe|object|canva
 CONTENT_TAGS = frozenset("article main".split())
 CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form head header main menu nav ol search section select table title ul".split())
 SKIPPED_NAMES = frozenset("ad ads adbox advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notification popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Parts of names that tell of the state of the page around, such as has-sidebar or header-fixed.
+WRAPPING_PARTS = frozenset("closed fixed has is layout no open with without".split())
 STOP_WORDS = frozenset("""
 a an and are as at be by for from had has he her his in is it not of on or she that the their they this to was were which with you
 au aux avec ce dans de des du elle en est et il la le les ne ou par pas pour que qui se sur un une
@@ -31,33 +33,151 @@ al como con del el los las lo no para pero por se su sus una y
 #: A block is mostly links above this density; prose has at least this density of stop words; fewer characters than this are short, and more than that long.
 LINKS, STOPS, SHORT, LONG = 0.33, 0.2, 70, 200
 
-_PIECES = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_RAW = frozenset(RAW_TAGS.split("|"))
+_NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*+=\s*+["']?true|display\s*+:\s*+none""", re.I)
+_TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9]*+")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*+)((?:[^"'<>]++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_UP_TO_MARK = re.compile(r"""[^"'>]*+""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?![a-zA-Z0-9])[^>]*>", re.I) for tag in _RAW}
 
 
-def _skipped(tag: str, attributes: str) -> bool:
-    if tag in SKIPPED_TAGS:
-        return True
-    if not attributes.strip():
+class _Ends:
+    """Finds the ends of tags with `<` in them, in a time that grows with the page's length however many have none."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.lost = html, max(map(html.rfind, "\"'>")), set()
+
+    def of(self, at: int) -> int:
+        """The place after a tag's `>`, quoted values passed over, or -1. A quote that was opened in vain isn't opened again."""
+        html, passed = self.html, []
+        while at <= self.last:
+            at = _UP_TO_MARK.match(html, at).end()
+            if html[at] == ">":
+                return at + 1
+            passed.append(at)
+            at = html.find(html[at], at + 1) + 1 if at not in self.lost else 0
+            if not at:
+                break
+        self.lost.update(passed)
+        return -1
+
+
+def pieces_of(html: str):
+    """Text, and tags as (name, whether it ends an element, attributes), in order. Comments, declarations and raw elements with all they hold are left out.
+
+    A tag or declaration that has no end is text; a comment or raw element without one goes to the end of the page.
+    """
+    at = start = 0
+    n, last = len(html), html.rfind(">")
+    ends = None
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at > last and not html.startswith("<!--", at):
+            at = html.find("<!--", at) if at >= 0 else -1
+            if at < 0:
+                break
+        tag = _TAG.match(html, at)
+        if tag:
+            ending, name, attributes = tag.groups()
+            end = tag.end()
+        elif html.startswith("<!--", at):
+            if at > start:
+                yield html[start:at]
+            end = html.find("-->", at + 4)
+            at = start = n if end < 0 else end + 3
+            continue
+        elif html.startswith(("<!", "<?"), at):
+            if at > start:
+                yield html[start:at]
+            at = start = html.index(">", at) + 1
+            continue
+        else:
+            found = _TAG_NAME.match(html, at + 1 + html.startswith("/", at + 1))
+            ends = ends or _Ends(html)
+            end = ends.of(found.end()) if found else -1
+            if end < 0:
+                at += 1
+                continue
+            ending, name, attributes = html[at + 1 : found.start()], found[0], html[found.end() : end - 1]
+        if at > start:
+            yield html[start:at]
+        name = name.lower()
+        if name in _RAW and not ending:
+            close = _RAW_END[name].search(html, end, last + 1)
+            at = start = close.end() if close else n
+            continue
+        yield name, ending == "/", attributes
+        at = start = end
+    if start < n:
+        yield html[start:]
+
+
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role names something beside the text. A name counts as a whole or by its first or last part, but not if another part says that it is about the page around."""
+    if tag in ("html", "body") or not attributes.strip():
         return False
-    names = (n for found in _NAMES.findall(attributes) for n in re.split(r"[^a-z0-9]+", "".join(found).lower()))
-    return any(n in SKIPPED_NAMES for n in names) or bool(_HIDDEN.search(attributes))
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).lower().split():
+            parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+            if parts and not WRAPPING_PARTS.intersection(parts) and (parts[0] in SKIPPED_NAMES or parts[-1] in SKIPPED_NAMES):
+                return True
+    return bool(_HIDDEN.search(attributes))
 
 
 class Block:
-    __slots__ = ("text", "linked", "part", "skipped", "heading")
+    __slots__ = ("text", "linked", "part", "skipped", "heading", "named", "_stops")
+
+    def __init__(self, text: str, linked: int, part: int, skipped: bool, heading: bool, named: tuple):
+        self.text, self.linked, self.part, self.skipped, self.heading, self.named, self._stops = text, linked, part, skipped, heading, named, None
+
+    @property
+    def density(self) -> float:
+        """Share of the text inside links."""
+        return self.linked / max(1, len(self.text) - self.text.count(" ")) if self.linked else 0.0
+
+    @property
+    def stops(self) -> float:
+        """Share of stop words."""
+        if self._stops is None:
+            words = self.text.lower().split()
+            self._stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+        return self._stops
+
 
-    def __init__(self, text: str, linked: int, part: int, skipped: bool, heading: bool):
-        self.text, self.linked, self.part, self.skipped, self.heading = text, linked, part, skipped, heading
+class _Opened(list):
+    """Open containers: (tag, whether its kind is skipped, its number if its name is, whether it is content). Counts are kept, so that no block looks at all of them."""
+
+    def __init__(self):
+        super().__init__()
+        self.skipped = self.content = 0
+        self.named: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, skipped: bool, named: int, content: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self))
+        self.append((tag, skipped, named, content))
+        self.skipped += skipped
+        self.content += content
+        if named:
+            self.named.append(named)
+
+    def cut(self, to: int) -> None:
+        while len(self) > to:
+            tag, skipped, named, content = self.pop()
+            self.places[tag].pop()
+            self.skipped -= skipped
+            self.content -= content
+            if named:
+                self.named.pop()
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks with words, in page order. part: 0 outside of article and main elements, else the number of the outermost."""
+    """Blocks with words, in page order. part: 0 outside of article and main elements, else the number of the outermost; named: the numbers of the containers around that are skipped by name."""
     out: list[Block] = []
-    opened: list[tuple[str, bool, bool]] = []  # container, whether it is skipped, whether it is content
+    opened = _Opened()
     pieces: list[tuple[str, bool]] = []
-    parts = links = 0
+    parts = links = numbers = 0
     heading = False
 
     def close():
@@ -65,19 +185,14 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join("".join(t for t, _ in pieces).split())
             if text:
                 linked = sum(len("".join(t.split())) for t, in_link in pieces if in_link)
-                inside = any(o[2] for o in opened)
-                out.append(Block(text, linked, parts if inside else 0, any(o[1] for o in opened), heading))
+                out.append(Block(text, linked, parts if opened.content else 0, opened.skipped > 0, heading, tuple(opened.named[:8])))
             pieces.clear()
 
-    at = 0
-    for m in _PIECES.finditer(html):
-        if m.start() > at:
-            pieces.append((unescape(html[at : m.start()]), links > 0))
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for piece in pieces_of(html):
+        if isinstance(piece, str):
+            pieces.append((unescape(piece), links > 0))
             continue
-        tag, ending = tag.lower(), bool(m[2])
+        tag, ending, attributes = piece
         if tag == "br":
             pieces.append((" ", False))
         elif tag == "a":
@@ -86,51 +201,61 @@ def blocks_of(html: str) -> list[Block]:
             close()
             links = 0 if tag not in ("li", "td", "th") or ending else links
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not ending
-            if tag in CONTAINERS:
-                if not ending:
-                    content = tag in CONTENT_TAGS
-                    if content and not any(o[2] for o in opened):
-                        parts += 1
-                        opened = [o for o in opened if not o[1]]  # what was left open before doesn't hold the article
-                    inside = any(o[2] for o in opened)
-                    opened.append((tag, _skipped(tag, m[4]) and not (content and not inside), content))
-                else:
-                    for k in range(len(opened) - 1, -1, -1):
-                        if opened[k][0] == tag:
-                            del opened[k:]
-                            break
-            elif not ending and m[4].strip() and _skipped(tag, m[4]):
-                pieces.clear()
-                opened.append((tag, True, False))
-            elif ending and any(o[0] == tag for o in opened):
-                while opened.pop()[0] != tag:
-                    pass
-    if at < len(html):
-        pieces.append((unescape(html[at:]), links > 0))
+            if ending:
+                if opened.places.get(tag):
+                    opened.cut(opened.places[tag][-1])
+                continue
+            content = tag in CONTENT_TAGS
+            if content and not opened.content:
+                parts += 1
+                held = [o for o in opened if not o[1] and not o[2]]  # what was left open before doesn't hold the article
+                opened.cut(0)
+                for o in held:
+                    opened.push(*o)
+            by_tag = tag in SKIPPED_TAGS and not (content and not opened.content)
+            by_name = not by_tag and not (content and not opened.content) and _named(tag, attributes)
+            numbers += by_name
+            if tag in CONTAINERS or by_name:
+                opened.push(tag, by_tag, numbers if by_name else 0, content)
     close()
     return out
 
 
+def _freed(blocks: list[Block]) -> None:
+    """Marks what is skipped by name; but if that leaves no long prose, the outermost such container that holds most of it is no longer skipped."""
+    if not any(b.named for b in blocks):
+        return
+    prose = [b for b in blocks if not b.skipped and len(b.text) > LONG and b.density <= LINKS and b.stops >= STOPS]
+    free: set[int] = set()
+    while prose and all(set(b.named) - free for b in prose):
+        held: dict[int, int] = {}
+        for b in prose:
+            first = next(k for k in b.named if k not in free)
+            held[first] = held.get(first, 0) + len(b.text)
+        free.add(max(held, key=lambda k: (held[k], -k)))
+    for b in blocks:
+        b.skipped = b.skipped or bool(set(b.named) - free)
+
+
 def _decide(block: Block, articles: bool) -> bool | None:
     """First pass: True for content, False for boilerplate, None for undecided."""
     if block.skipped:
         return False
     size = len(block.text)
-    density = block.linked / max(1, size - block.text.count(" "))
-    if density > LINKS:
+    if block.density > LINKS:
         return False
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if block.part:
         return True if size >= SHORT else None
     if articles or block.heading or size < SHORT:
         return None
+    stops = block.stops
     return True if stops >= STOPS and size > LONG else None if stops >= STOPS / 2 or size > LONG else False
 
 
 def main_text(html: str) -> str:
     """Content blocks of a page in order, joined by one line feed; empty if there are none."""
     blocks = blocks_of(html)
+    _freed(blocks)
     articles = any(b.part for b in blocks)
     labels = [_decide(b, articles) for b in blocks]
     decided = [(k, b.part, labels[k]) for k, b in enumerate(blocks) if labels[k] is not None and not b.skipped]
@@ -155,7 +280,8 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with text (never null) and n_chars, its code points. A null page is empty, and so is one without content.
 
-    Repeated rows give the same text; an empty table gives an empty table; existing columns of the new names are replaced.
+    A page of any length is read as a whole, in a time that grows with its length, whatever is left open in it. Repeated rows give the same text; of equally near decided neighbours
+    content counts; an empty table gives an empty table; existing columns of the new names are replaced, others stay as they are.
     """
     pages = pages.drop("text", "n_chars")
 
