@@ -30,13 +30,15 @@ BEGINNINGS, PASSAGES = (4, 5, 6), (4, 16, 64)
 CURVE_ROWS = 4000
 #: Weights (16 bytes each) in a part of the models. Parts are collected, broadcast and looked up one after another, so memory doesn't follow their number.
 PART_WEIGHTS = 2 << 20
+#: Labelled texts (about 100 bytes each, without the text) that may be broadcast to fetch their texts; more are joined by a merge.
+BROADCAST_IDS = 300_000
 #: Words that a worker keeps between texts, and tokens that a task gathers before it counts them.
 KEPT_WORDS, GATHERED = 200_000, 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
-#: A text's first word follows this one.
-_START = b""
+#: A text's first word follows this one, of this key.
+_START, _START_KEY = b"", len(BEGINNINGS) + 1 << 48
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -45,11 +47,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def numbers_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and longest beginning of each word, the latter as a number of six bytes, zeros after a shorter word."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    """Key and longest beginning of each word, the latter as a number of six bytes, zeros after a shorter word, which is its own key. The key of a longer word is a hash with the highest bit set."""
     longest = BEGINNINGS[-1]
     begun = np.fromiter((int.from_bytes(w[:longest].ljust(longest, b"\0"), "big") for w in words), np.uint64, len(words))
-    return hashes, begun
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) if len(w) > longest else 0 for w in words), np.uint64, len(words))
+    return np.where(hashes > 0, hashes | np.uint64(1 << 63), begun | np.uint64(len(BEGINNINGS) + 1 << 48)), begun
 
 
 def _rotated(x, bits: int):
@@ -68,7 +70,7 @@ def _tagged(begun, k: int):
 
 
 def _pair_counts(training: DataFrame) -> DataFrame:
-    """left, word (hashes), begun (the word's longest beginning), n0 and n1: occurrences of each pair of words in each class. Tasks sum before they pass on."""
+    """left, word (keys), begun (the longest beginning of a word that is longer, else 0), n0 and n1: occurrences of each pair of words in each class. Tasks sum before they pass on."""
 
     def count(batches):
         numbers: dict[bytes, int] = {_START: 0}
@@ -77,11 +79,12 @@ def _pair_counts(training: DataFrame) -> DataFrame:
 
         def flushed():
             nonlocal size
-            hashes, begun = numbers_of(list(numbers))
+            keys, begun = numbers_of(list(numbers))
+            begun[keys >> np.uint64(63) == 0] = 0
             pairs, counts = np.unique(np.concatenate(held), return_counts=True)
             toxic = (pairs & 1).astype(bool)
-            left, word = hashes[pairs >> 32], pairs >> 1 & 0x7FFFFFFF
-            columns = [left.view(np.int64), hashes[word].view(np.int64), begun[word].view(np.int64), np.where(toxic, 0, counts), np.where(toxic, counts, 0)]
+            left, word = keys[pairs >> 32], pairs >> 1 & 0x7FFFFFFF
+            columns = [left.view(np.int64), keys[word].view(np.int64), begun[word].view(np.int64), np.where(toxic, 0, counts), np.where(toxic, counts, 0)]
             for at in range(0, len(pairs), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], names=["left", "word", "begun", "n0", "n1"])
             numbers.clear()
@@ -137,16 +140,17 @@ def model_weights(training: DataFrame) -> DataFrame:
     training: distinct texts with toxic (0 or 1). What isn't listed adds nothing.
     """
     pairs = _pair_counts(training)
-    none = F.lit(0).cast("long")
-    of = lambda kind, a, b, x0, x1: (F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), x0.cast("long").alias("x0"), x1.cast("long").alias("x1"))
-    # the same exchange feeds all three, so the texts are read once
-    words = pairs.groupBy("word", "begun").agg(*of("word", F.max("word"), F.max("begun"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0))).drop("word", "begun")
-    heads = pairs.groupBy("left").agg(*of("head", F.max("left"), F.max(none), F.sum("n0"), F.sum("n1"))).drop("left")
-    often = pairs.filter(F.col("n0") + F.col("n1") > DISCOUNT).select(*of("pair", F.col("left"), F.col("word"), F.col("n0"), F.col("n1")))
-    counts = stored(words.unionByName(heads).unionByName(often), "toxicity-counts")
-    words = counts.filter("kind = 'word'").select(F.col("a").alias("word"), F.col("b").alias("begun"), "x0", "x1")
-    heads = counts.filter("kind = 'head'").select(F.col("a").alias("left"), F.col("x0").alias("m0"), F.col("x1").alias("m1"))
-    often = counts.filter("kind = 'pair'").select(F.col("a").alias("left"), F.col("b").alias("word"), "x0", "x1")
+    none, short = F.lit(0).cast("long"), F.lit((1 << 48) - 1)
+    # the same exchange feeds both, so the texts are read once
+    words = pairs.groupBy("word", "begun").agg(F.count_if(F.col("n0") > 0).alias("x0"), F.count_if(F.col("n1") > 0).alias("x1"), F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
+    words = words.select(none.alias("left"), "word", F.when(F.col("word") < 0, F.col("begun")).otherwise(F.col("word").bitwiseAND(short)).alias("begun"), "x0", "x1", "m0", "m1")
+    often = pairs.filter(F.col("n0") + F.col("n1") > DISCOUNT).select("left", "word", none.alias("begun"), F.col("n0").alias("x0"), F.col("n1").alias("x1"), none.alias("m0"), none.alias("m1"))
+    counts = stored(words.withColumn("pair", F.lit(False)).unionByName(often.withColumn("pair", F.lit(True))), "toxicity-counts")
+    words, often = counts.filter("NOT pair"), counts.filter("pair").select("left", "word", "x0", "x1")
+    # how often a word stands before another or at the end; a text's start stands once in each
+    start = training.groupBy().agg(F.lit(_START_KEY).alias("left"), F.count_if(F.col("toxic") == 0).alias("m0"), F.count_if(F.col("toxic") == 1).alias("m1"))
+    heads = words.select(F.col("word").alias("left"), "m0", "m1").unionByName(start)
+    words = words.select("word", "begun", "x0", "x1")
 
     names = ["root", *(f"b{k}" for k in range(len(BEGINNINGS))), "word"]
     chain = words.withColumns({"root": none} | {f"b{k}": _tagged(F.col("begun"), k) for k in range(len(BEGINNINGS))})
@@ -277,11 +281,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     Equal texts count once. Without documents of both classes there is no evidence, and every score is less than 0.5.
     """
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
-    # labels grow with the documents, so neither side is ever broadcast
-    joined = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("text")).join(marks.hint("merge"), "_id")
-    once = joined.groupBy(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size")).agg(F.max("toxic").alias("toxic"), F.any_value("text").alias("text"))
-    training = stored(once.select("hash", "toxic", "text"), "toxicity")
-    n = training.count()
+    source = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("text")).withColumns({"hash": F.xxhash64("text"), "size": F.octet_length("text")})
+    # labels grow with the documents, so they are joined by a merge, with ids and hashes alone; one document stands for equal texts
+    labelled = source.select("_id", "hash", "size").join(marks.hint("merge"), "_id").groupBy("hash", "size", "_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+    chosen = stored(labelled.groupBy("hash", "size").agg(F.max("toxic").alias("toxic"), F.min_by(F.struct("_id", "n"), "_id").alias("first")).select("hash", "size", "toxic", "first.*"), "toxicity-chosen")
+    n, most = chosen.agg(F.count("*"), F.max("n")).first()
+    few = chosen.drop("n").hint("broadcast" if n <= BROADCAST_IDS else "merge")
+    training = source.join(few, ["_id", "hash", "size"]).select("hash", "toxic", "text")
+    training = stored(training.dropDuplicates(["hash"]) if (most or 0) > 1 else training, "toxicity")
     share = min(1 / 8, CURVE_ROWS / max(n, 1))
     sampled = F.pmod(F.xxhash64("hash", F.lit(3)), F.lit(1 << 31)) < round(share * (1 << 31))
     weights = stored(model_weights(training.filter(~sampled)), "toxicity-weights")
