@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-import types
 
 import ahocorasick
 import numpy as np
@@ -21,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget
+from .common import kept, unused
 
 #: Remembered pairs and pre-tokens in a worker; the memory is emptied when it is full.
 MAX_PAIRS, MAX_PIECES = 250_000, 200_000
@@ -117,20 +115,11 @@ class BytePairEncoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def worker_encoder(ranks: dict[bytes, int], key: str, pattern: str) -> BytePairEncoder:
-    """One encoder for a worker process, kept from task to task with what it remembers."""
-    forget("_sqlbranch_trie")
-    kept = sys.modules.setdefault("_sqlbranch_bpe", types.ModuleType("_sqlbranch_bpe"))
-    if getattr(kept, "key", None) != (key, pattern):
-        kept.key, kept.encoder = (key, pattern), BytePairEncoder(ranks, pattern)
-    return kept.encoder
-
-
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", digests: bool = True) -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit) and n_tokens; with digests, ids_sha256 and decoded_sha256 too.
 
-    The rank file is read on the driver and broadcast. A null text counts as empty: no ids. Rows are independent, so
-    repeated rows, ties and empty tables need no rule; existing columns of the new names are replaced.
+    The rank file is read on the driver and broadcast; one beyond MAX_VOCABULARY_BYTES is refused. A null text counts as empty: no ids. A text of any length is encoded as a whole. Rows are independent, so
+    repeated rows, ties, ids of any type and empty tables need no rule; existing columns of the new names are replaced, others stay as they are.
     """
     ranks = read_ranks(vocabulary)
     if sum(map(len, ranks)) > MAX_VOCABULARY_BYTES:
@@ -143,7 +132,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
 
     @F.arrow_udf("struct<" + ",".join(f"{n}:{ {pa.int64(): 'bigint', pa.binary(): 'binary', pa.string(): 'string'}[kinds[n]] }" for n in names) + ">")
     def encode(column: pa.Array) -> pa.Array:
-        coder = worker_encoder(shared.value, key, pattern)
+        coder = kept("bpe", (key, pattern), lambda: BytePairEncoder(shared.value, pattern))
         out: dict[str, list] = {n: [] for n in names}
         for at in range(0, len(column), 64):
             for value in column.slice(at, 64).to_pylist():
@@ -155,11 +144,15 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
                     out["decoded_sha256"].append(hashlib.sha256(coder.decode(ids)).hexdigest())
         return pa.StructArray.from_arrays([pa.array(out[n], kinds[n]) for n in names], names)
 
-    return docs.withColumn("_encoded", encode(F.col(text).cast("string"))).select(*docs.columns, "_encoded.*")
+    own = unused(docs, "encoded")
+    return docs.withColumn(own, encode(F.col(text).cast("string"))).select(*docs.columns, f"{own}.*")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """encoded with the bytes that the ids in column `ids` stand for, in column `to`; null ids decode to null."""
+    """encoded with the bytes that the ids in column `ids` stand for, in column `to`, which is replaced if it is there.
+
+    Null ids decode to null, empty ones to no bytes; an id that the vocabulary lacks is an error. Rows are independent; an empty table gives an empty table.
+    """
     ranks = read_ranks(vocabulary)
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
 

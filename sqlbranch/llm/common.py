@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -22,16 +21,26 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS where they are more, so that memory doesn't follow the length of texts."""
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS where they are more, so that memory doesn't follow the length of texts.
+
+    Registered queries and stages of the pipeline call this, and the session keeps it, as Spark reads it when a query runs. Operators don't: who calls them sets what suits the texts.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def forget(*names: str) -> None:
-    """Drops what tasks of other operators have kept in this worker process for tasks to come."""
-    for name in names or ("_sqlbranch_bpe", "_sqlbranch_trie"):
-        sys.modules.pop(name, None)
+#: What this worker process keeps for tasks to come: one object, under the name of its operator and a key of its parameters.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(name: str, key, make: Callable):
+    """The object that make() gives, made once in this worker; another one takes its place, so that a worker never holds two."""
+    found = _KEPT.get((name, key))
+    if found is None:
+        _KEPT.clear()
+        found = _KEPT[name, key] = make()
+    return found
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +49,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sqlbranch-"))
     return context.getCheckpointDir()
 
@@ -66,6 +77,15 @@ def stored(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name with as many underscores before it as it takes to be no column of df, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = "_" + name
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,7 +97,7 @@ def as_bytes(column: str):
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
     """Columns of Python values, SLICE_ROWS rows at a time."""
-    forget()
+    _KEPT.clear()
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)

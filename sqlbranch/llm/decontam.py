@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, as_bytes, forget
+from .common import Hasher, as_bytes, unused
 
 #: A block is closed once it holds this many words; a longer document makes a block by itself.
 BLOCK_WORDS = 1 << 17
-#: Test words broadcast at a time, 8 bytes each; a larger test set is searched in several passes over each block.
+#: Test words broadcast at a time, 8 bytes each; a larger test set is broadcast in several parts, which each block is searched for one after another.
 QUERY_WORDS = 4 << 20
+#: Blocks of an index that are searched for a part of the test set before the next part is loaded.
+BLOCKS = 16
 #: Free positions between documents. A phrase or neighbourhood of up to this length stays in one document.
 GAP = 64
 
@@ -48,7 +50,7 @@ class Query:
                     self.names.append("" if item is None else str(item))
                 for at in range(max(1, len(words) - width + 1)):
                     windows.setdefault(words[at : at + width].tobytes(), {})[number] = None
-        self.items = [list(x) for x in windows.values()]
+        self.items = [[self.names[n] for n in x] for x in windows.values()]
         self.lengths = np.array([len(w) // 8 for w in windows], np.int64)
         padded = np.zeros((len(windows), width), np.uint64)
         for row, w in zip(padded, windows):
@@ -59,18 +61,33 @@ class Query:
 
 
 def queries(items: DataFrame, width: int, text: str = "text", item: str = "item_id") -> Iterator[Query]:
-    """The test set, QUERY_WORDS words at a time; it is never in the driver as a whole."""
+    """The test set, QUERY_WORDS words at a time; it is never in the driver as a whole. An item longer than that makes a part by itself."""
     held, size = [], 0
     for row in items.select(F.col(item), as_bytes(text)).toLocalIterator():
-        held.append((row[0], bytes(row[1])))
-        size += len(row[1]) // 2
-        if size * width > QUERY_WORDS:
+        more = (len(row[1]) // 2 + 1) * width
+        if held and size + more > QUERY_WORDS:
             yield Query(held, width)
             held, size = [], 0
+        held.append((row[0], bytes(row[1])))
+        size += more
     if held:
         yield Query(held, width)
 
 
+class Parts:
+    """The test set as broadcasts, of which a worker holds one at a time; the others stay in its executor's files."""
+
+    def __init__(self, items: DataFrame, width: int):
+        context = items.sparkSession.sparkContext
+        self.broadcasts = [context.broadcast(q) for q in queries(items, width)]
+
+    def __iter__(self) -> Iterator[Query]:
+        for part in self.broadcasts:
+            yield part.value
+            if len(self.broadcasts) > 1:
+                del part._value
+
+
 class Block:
     """Postings of some documents. starts: the first position of each document; they lie GAP positions apart."""
 
@@ -145,10 +162,10 @@ class Block:
                 return True
         return False
 
-    def results(self, names: list[str]) -> dict[str, list]:
+    def results(self) -> dict[str, list]:
         total = np.r_[0, np.cumsum(self.hit)]
         n_hit = (total[self.starts + self.lengths] - total[self.starts]).tolist() if len(self.lengths) else []
-        found = [sorted({names[i] for i in x}) for x in self.found]
+        found = [sorted(x) for x in self.found]
         return {
             "n_words": self.lengths.tolist(), "n_hit": n_hit, "n_items": [len(x) for x in found],
             "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found],
@@ -160,26 +177,21 @@ _RESULT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items",
 _RESULT_DDL = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long, items array<string>"
 
 
-def _searched(block: Block, shared: list, near: int) -> dict[str, list]:
-    names: list[str] = []
-    for query in shared:
-        base = len(names)
-        marked = block.found, block.near
-        block.found, block.near = ([set() for _ in block.lengths] for _ in range(2))
-        block.search(query, near)
-        for kept, new in zip(marked, (block.found, block.near)):
-            for a, b in zip(kept, new):
-                a.update(base + i for i in b)
-        block.found, block.near = marked
-        names += query.names
-    return block.results(names)
+def _searched(blocks: list[Block], parts: Iterable[Query], near: int) -> list[dict[str, list]]:
+    """All blocks are searched for one part before the next is loaded."""
+    for query in parts:
+        for block in blocks:
+            block.search(query, near)
+    return [block.results() for block in blocks]
 
 
 def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The index of all words of all documents, a row for each block; write it, with small row groups, to search it often."""
+    """The index of all words of all documents, a row for each block; write it, with small row groups, to search it often.
+
+    doc_ids are kept as long numbers, or null. Null and empty texts have no words but stay in the index; repeated rows are rows of their own; a longer text than a block makes one by itself; no documents make no blocks.
+    """
 
     def index(batches):
-        forget()
         hashed = Hasher()
         ids, held, size = [], [], 0
 
@@ -208,20 +220,25 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def search_index(index: DataFrame, items: DataFrame, width: int = 10, near: int = 15) -> DataFrame:
     """For each indexed document what flag_contaminated() says of it, with its doc_id.
 
-    Rows of the index are whole blocks, so any split of them over tasks gives the same result.
+    Rows of the index are whole blocks, so any split of them over tasks gives the same result. Nulls, ties, repeated rows, long texts and empty tables are treated as there.
     """
-    shared = list(queries(items, width))  # goes out with the function, once to each executor
+    shared = Parts(items, width)
     schema = pa.schema([("doc_id", pa.int64()), *_RESULT])
 
     def search(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                ids, lengths, terms, bounds, deltas = (c[at] for c in batch.columns)
-                numbers = lambda x: x.values.to_numpy(zero_copy_only=False)
-                positions = np.cumsum(np.frombuffer(deltas.as_buffer(), "<i4"), dtype=np.int64)
-                block = Block(numbers(lengths), numbers(terms).view(np.uint64), numbers(bounds), positions)
-                out = {"doc_id": ids.values} | _searched(block, shared, near)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            step = BLOCKS if len(shared.broadcasts) > 1 else 1
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                blocks = []
+                for at in range(part.num_rows):
+                    _, lengths, terms, bounds, deltas = (c[at] for c in part.columns)
+                    numbers = lambda x: x.values.to_numpy(zero_copy_only=False)
+                    positions = np.cumsum(np.frombuffer(deltas.as_buffer(), "<i4"), dtype=np.int64)
+                    blocks.append(Block(numbers(lengths), numbers(terms).view(np.uint64), numbers(bounds), positions))
+                for at, found in enumerate(_searched(blocks, shared, near)):
+                    out = {"doc_id": part.column(0)[at].values} | found
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return index.mapInArrow(search, f"doc_id long, {_RESULT_DDL}")
 
@@ -232,27 +249,32 @@ def flag_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, near:
 
     n_near_items counts, besides those, the items of which some window has all its words at most `near` places apart, in any order.
     The blocks are indexed and searched in one pass, and nothing is stored. A null text has no words; items without
-    words are never found; an item_id that comes more than once counts once, a null one as an empty name. Repeated documents are judged
-    alike; empty tables on either side give no rows or no hits. Existing columns of the new names are replaced.
+    words are never found; an item_id that comes more than once counts once, a null one as an empty name. Repeated documents, and those that tie in any way, are judged
+    alike; a text of any length is searched as a whole, in a block of its own if it is long; ids of any type stay as they are. Empty tables on either side give no rows or no hits.
+    Existing columns of the new names are replaced, others stay as they are.
     """
     docs = docs.drop(*_RESULT.names)
-    shared = list(queries(items, width))
+    shared = Parts(items, width)
     names = docs.columns
 
     def flag(batches):
-        forget()
         hashed = Hasher()
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                held, size, first = [], 0, at
-                while at < batch.num_rows and size < BLOCK_WORDS:
-                    held.append(hashed.array(words_of(batch.column(len(names))[at].as_py())))
-                    size += len(held[-1]) + GAP
-                    at += 1
-                out = _searched(Block.of(held), shared, near)
-                part = batch.slice(first, at - first)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(out[f.name], f.type) for f in _RESULT)], names=[*names, *_RESULT.names])
+            held, sizes, last = [[]], [0], [0]
+            for at in range(batch.num_rows):
+                words = hashed.array(words_of(batch.column(len(names))[at].as_py()))
+                if sizes[-1] and sizes[-1] + len(words) + GAP > BLOCK_WORDS:
+                    held.append([])
+                    sizes.append(0)
+                    last.append(at)
+                held[-1].append(words)
+                sizes[-1] += len(words) + GAP
+            if not batch.num_rows:
+                continue
+            for first, found in zip(last, _searched([Block.of(d) for d in held], shared, near)):
+                part = batch.slice(first, len(found["n_words"]))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(found[f.name], f.type) for f in _RESULT)], names=[*names, *_RESULT.names])
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [_RESULT_DDL])
-    return docs.withColumn("_bytes", as_bytes(text)).mapInArrow(flag, ddl)
+    body = unused(docs, "bytes")
+    return docs.withColumn(body, as_bytes(text)).select(*docs.columns, body).mapInArrow(flag, ddl)

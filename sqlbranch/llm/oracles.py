@@ -1,6 +1,7 @@
 """What some queries return, in DuckDB's SQL. The others merge, link, learn or sample in ways that SQL has no expression for; tests hold those against plain versions."""
 
 from .quality import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS
+from .queries import NEAR
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -62,10 +63,18 @@ sizes AS (SELECT DISTINCT size FROM windows),
 starts AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS w FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size)),
 found AS (SELECT s.doc_id, s.i, s.size, windows.item_id FROM starts s JOIN windows ON s.size = windows.size AND s.w = windows.w),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id),
-items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM found GROUP BY doc_id)
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM found GROUP BY doc_id),
+terms AS (SELECT w, size, unnest(list_distinct(string_split(w, ' '))) AS term, len(list_distinct(string_split(w, ' '))) AS n FROM (SELECT DISTINCT w, size FROM windows WHERE size > 1)),
+places AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM d),
+here AS (SELECT DISTINCT doc_id, word FROM places),
+whole AS (SELECT doc_id, w, any_value(n) AS n FROM here JOIN terms ON term = word GROUP BY doc_id, w HAVING count(*) = any_value(n)),
+spots AS (SELECT whole.doc_id, whole.w, whole.n, p, word FROM whole JOIN terms ON terms.w = whole.w JOIN places ON places.doc_id = whole.doc_id AND word = term),
+close AS (SELECT DISTINCT a.doc_id, a.w FROM (SELECT a.doc_id, a.w, a.p, count(DISTINCT b.word) AS seen, any_value(a.n) AS n FROM spots a
+          JOIN spots b ON b.doc_id = a.doc_id AND b.w = a.w AND b.p BETWEEN a.p AND a.p + {NEAR} GROUP BY a.doc_id, a.w, a.p) a WHERE seen = n),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM (SELECT doc_id, item_id FROM close JOIN windows ON windows.w = close.w UNION SELECT doc_id, item_id FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, CAST(coalesce(near.n, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
 ORACLES = {"op1_quality": _QUALITY, "op6_url_rules": _URLS, "op7_decontamination": _CONTAMINATION}

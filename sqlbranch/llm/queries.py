@@ -13,6 +13,9 @@ from .common import stored, table
 #: The entries that op6 judges by.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
+#: The words of a proximity match of op7 lie so many places apart at most.
+NEAR = 15
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
@@ -47,13 +50,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stored(decontam.build_index(table(spark, sf_dir, "documents")), "positions", row_group=16 << 20)
-    return decontam.search_index(index, table(spark, sf_dir, "benchmark"), near=0).drop("items", "n_near_items")
-
-
-def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What op7_decontamination returns, with the proximity matches, which its SQL doesn't have."""
-    index = stored(decontam.build_index(table(spark, sf_dir, "documents")), "positions", row_group=16 << 20)
-    return decontam.search_index(index, table(spark, sf_dir, "benchmark"), near=15).drop("items")
+    return decontam.search_index(index, table(spark, sf_dir, "benchmark"), near=NEAR).drop("items")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +71,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_token_counts, op4_passages, op5_shards, op6_url_rules, op7_decontamination, op7_proximity, op8_bpe, op9_simhash, op10_main_text)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_token_counts, op4_passages, op5_shards, op6_url_rules, op7_decontamination, op8_bpe, op9_simhash, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:

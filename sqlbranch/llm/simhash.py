@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, forget, stored
+from .common import as_bytes, stored, unused
 from .graph import connected_components
 
 #: Fingerprints in the sample that bits are grouped and candidates estimated on.
@@ -52,11 +52,13 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
-    """docs with the fingerprint of each text as a signed long; a null text is empty."""
+    """docs with the fingerprint of each text as a signed long, in column `to`, which is replaced if it is there; a null text is empty.
+
+    Rows are independent: repeated ones have equal fingerprints, and an empty table gives an empty table.
+    """
 
     @F.arrow_udf("long")
     def fingerprints(column: pa.Array) -> pa.Array:
-        forget()
         out = [fingerprint(t) for at in range(0, len(column), 128) for t in column.slice(at, 128).to_pylist()]
         return pa.array(np.array(out, np.uint64).view(np.int64))
 
@@ -140,47 +142,43 @@ def near_pairs(fps: DataFrame, tau: int = 3) -> DataFrame:
     rows = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
     parts = plan_parts(np.array([r[0] for r in rows], np.int64).view(np.uint64), max(n, 1), tau)
 
-    def keyed(k: int, part: list[int], flips: list[int]) -> DataFrame:
-        value = _value("fp", part)
-        spread = F.explode(F.array(*map(F.lit, flips))) if len(flips) > 1 else F.lit(flips[0])
-        return fps.select("fp", value.alias("_v"), spread.alias("_flip")).select("fp", F.lit(k).alias("part"), F.col("_v").bitwiseXOR(F.col("_flip")).alias("value"))
-
-    found = None
-    for k, (part, t) in enumerate(parts):
-        index, probes = keyed(k, part, [0]), keyed(k, part, _flips(part, t))
-        heavy = index.groupBy("part", "value").count().filter(F.col("count") > HEAVY).select("part", "value", F.lit(True).alias("heavy"))
+    # all parts in one table: (part, value) of each fingerprint, and of all values within the part's threshold of its own
+    entries = lambda flips_of: F.explode(F.array(*(F.struct(F.lit(k).alias("part"), _value("fp", part).bitwiseXOR(F.lit(m)).alias("value")) for k, (part, t) in enumerate(parts) for m in flips_of(part, t))))
+    index = fps.select("fp", entries(lambda part, t: [0]).alias("e")).select("fp", "e.*")
+    probes = fps.select("fp", entries(_flips).alias("e")).select("fp", "e.*")
+    heavy = index.groupBy("part", "value").count().filter(F.col("count") > HEAVY).select("part", "value", F.lit(True).alias("heavy"))
+    whole = F.array(F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("sub")))
+    finer = None
+    for k, (part, _) in enumerate(parts):
         rest = [b for b in range(64) if b not in part]
-        groups = [rest[g :: tau + 1] for g in range(tau + 1)]
+        groups = F.array(*(F.struct(F.lit(g).alias("g"), _value("fp", rest[g :: tau + 1]).alias("sub")) for g in range(tau + 1)))
+        finer = F.when(F.col("part") == k, groups) if finer is None else finer.when(F.col("part") == k, groups)
 
-        def divided(side: DataFrame) -> DataFrame:
-            side = side.join(heavy, ["part", "value"], "left")
-            whole = F.array(F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("sub")))
-            finer = F.array(*(F.struct(F.lit(g).alias("g"), _value("fp", bits).alias("sub")) for g, bits in enumerate(groups)))
-            return side.withColumn("_key", F.explode(F.when(F.col("heavy"), finer).otherwise(whole))).select("fp", "part", "value", "_key.g", "_key.sub")
+    def divided(side: DataFrame) -> DataFrame:
+        keys = F.explode(F.when(F.col("heavy"), finer).otherwise(whole)).alias("key")
+        return side.join(heavy, ["part", "value"], "left").select("fp", "part", "value", keys).select("fp", "part", "value", "key.*")
 
-        keys = ["part", "value", "g", "sub"]
-        left, right = divided(index).withColumnRenamed("fp", "u"), divided(probes).withColumnRenamed("fp", "v")
-        close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= tau)
-        pairs = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys] + [close]).select("u", "v")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+    left, right = divided(index).withColumnRenamed("fp", "u"), divided(probes).withColumnRenamed("fp", "v")
+    close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= tau)
+    return left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("part", "value", "g", "sub")] + [close]).select("u", "v")
 
 
 def link(docs: DataFrame, tau: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with fp (signed) and component_id: the smallest doc_id that is reachable over fingerprints at most tau bits apart.
+    """docs without their text, with fp (signed) and component_id: the smallest doc_id that is reachable over fingerprints at most tau bits apart.
 
-    Texts without words (null, empty, white space) have fingerprint 0 and are linked like any other. A null doc_id is never a component_id unless
-    its component has no other; repeated rows get the same component; an empty table gives an empty table.
-    Existing columns of the new names are replaced.
+    Texts without words (null, empty, white space) have fingerprint 0 and are linked like any other; a text of any length counts as a whole. A null doc_id is never a component_id unless
+    its component has no other; ids may be of any type that has an order. Repeated rows and equal texts get the same component; an empty table gives an empty table.
+    Existing columns of the new names are replaced, others stay as they are.
     """
-    docs = with_fingerprints(docs.drop("fp", "component_id"), text)
+    # fingerprints are taken once and stored beside the other columns
+    docs = stored(with_fingerprints(docs.drop("fp", "component_id"), text).drop(text), "fingerprinted")
     classes = components(docs, tau, doc_id).drop("root")
     return docs.join(classes, "fp", "left").select(*docs.columns, "component_id")
 
 
-def components(prints: DataFrame, tau: int = 3, doc_id: str = "doc_id") -> DataFrame:
+def components(prints: DataFrame, tau: int = 3, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
     """fp, component_id and root (its smallest fingerprint): a row for each distinct fingerprint in column fp of prints."""
-    distinct = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("first_id")), "fingerprints")
+    distinct = stored(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first_id")), "fingerprints")
     roots = connected_components(near_pairs(distinct.select("fp"), tau))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -188,11 +186,12 @@ def components(prints: DataFrame, tau: int = 3, doc_id: str = "doc_id") -> DataF
 
 
 def keep_one(docs: DataFrame, tau: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: the one of the smallest doc_id; of repeated rows of that, one.
+    """docs with one row of each component: the one of the smallest doc_id; of repeated rows of that, one, and of several texts of that document that are near, any.
 
-    A component without any doc_id keeps one row too.
+    A component without any doc_id keeps one row too. Null and empty texts make a component; texts of any length count as a whole; an empty table gives an empty table; columns stay as they are, whatever their names.
     """
-    prints = with_fingerprints(docs, text, "_fp")
-    classes = components(prints.select(doc_id, F.col("_fp").alias("fp")), tau, doc_id).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_first"), F.col("root").alias("_root"))
-    first = prints.join(classes, "_fp").filter(F.col(doc_id).eqNullSafe(F.col("_first")))
-    return first.dropDuplicates(["_root", doc_id]).select(*docs.columns)
+    own, first, root = (unused(docs, n) for n in ("fp", "first", "root"))
+    prints = stored(with_fingerprints(docs, text, own), "fingerprinted")
+    classes = components(prints, tau, doc_id, own).select(F.col("fp").alias(own), F.col("component_id").alias(first), F.col("root").alias(root))
+    kept = prints.join(classes, own).filter(F.col(doc_id).eqNullSafe(F.col(first)))
+    return kept.dropDuplicates([root, doc_id]).select(*docs.columns)

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import sys
-import types
 
 import pyarrow as pa
 import regex
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MAX_VOCABULARY_BYTES, read_ranks
+from .common import kept
 
 #: Nodes of a worker's trie; it starts anew when it is full. Scores are logarithms in units of 2^-20.
 MAX_NODES, UNIT = 250_000, 1 << 20
@@ -96,9 +95,9 @@ class TrieCounter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens. A null or empty text has none.
+    """docs with n_tokens. A null or empty text has none; a text of any length is counted as a whole.
 
-    Each worker keeps its trie from task to task, up to MAX_NODES nodes. Repeated rows count alike; an empty table gives an empty table; an existing column n_tokens is replaced.
+    Each worker keeps its trie from task to task, up to MAX_NODES nodes. Of segmentations with one score that of fewest tokens counts. Repeated rows count alike; an empty table gives an empty table; an existing column n_tokens is replaced, others stay as they are.
     """
     ranks = read_ranks(vocabulary)
     if sum(map(len, ranks)) > MAX_VOCABULARY_BYTES:
@@ -109,9 +108,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
 
     @F.arrow_udf("long")
     def counted(column: pa.Array) -> pa.Array:
-        kept = sys.modules.setdefault("_sqlbranch_trie", types.ModuleType("_sqlbranch_trie"))
-        if getattr(kept, "key", None) != key:
-            kept.key, kept.counter = key, TrieCounter(shared.value, pattern)
-        return pa.array([kept.counter.count(t) if t else 0 for at in range(0, len(column), 128) for t in column.slice(at, 128).to_pylist()], pa.int64())
+        counter = kept("trie", key, lambda: TrieCounter(shared.value, pattern))
+        return pa.array([counter.count(t) if t else 0 for at in range(0, len(column), 128) for t in column.slice(at, 128).to_pylist()], pa.int64())
 
     return docs.withColumn("n_tokens", counted(F.col(text).cast("string")))

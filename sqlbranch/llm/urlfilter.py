@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Entries that may be broadcast, by their length in all; more need a narrower list.
 MAX_RULE_BYTES = 64 << 20
 
@@ -73,7 +75,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     """pages with host, path, rule (null if none fits) and verdict.
 
     A null url, or one without `://`, has neither host nor path and gets `default`, as does an url that no rule fits.
-    Repeated rows are judged alike; an empty table gives an empty table; existing columns of the new names are replaced.
+    Of entries as long as each other, allow wins. Repeated rows are judged alike; an url of any length is judged as a whole; an empty table gives an empty table; existing columns of the new names are replaced, others stay as they are.
     """
     if sum(len(r) for _, r in rules) > MAX_RULE_BYTES:
         raise ValueError("the rule list is larger than what may be broadcast")
@@ -93,4 +95,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     def judge(column: pa.Array) -> pa.Array:
         return judged(column)
 
-    return pages.withColumn("_judged", judge(F.col(url).cast("string"))).select(*pages.columns, "_judged.*")
+    own = unused(pages, "judged")
+    return pages.withColumn(own, judge(F.col(url).cast("string"))).select(*pages.columns, f"{own}.*")
