@@ -14,7 +14,7 @@ import pytest
 import regex
 
 from sqlbranch.llm import bpe, decontam, graph, html, quality, queries, sharding, simhash, substring, token_counts, toxicity, urlfilter
-from sqlbranch.llm.common import Hasher, shingle_hashes
+from sqlbranch.llm.common import shingle_hashes
 
 P = pytest.importorskip("public_tokenizers")
 VOCABULARY = P.path("byte_bpe_multi_50k.tiktoken")
@@ -52,13 +52,27 @@ def test_quality_keeps_prose_and_rejects_noise(make, prose):
     assert got[61].base_failed and got[61].n_repeat_words == 200 and got[60].n_symbols == 720 and not got[60].base_failed
 
 
-def test_quality_on_odd_rows(odd, nothing, monkeypatch):
+def test_quality_on_odd_rows(odd, nothing):
     got = quality.judge_quality(odd).collect()
     assert len(got) == 10 and sum(r.n_words == 0 for r in got) == 4
     assert quality.judge_quality(nothing).count() == 0
-    monkeypatch.setattr(quality, "MAX_LANGUAGES", 1)
-    same = quality.judge_quality(odd).collect()
-    assert sorted(str(r[:7]) for r in same) == sorted(str(r[:7]) for r in got)
+
+
+def test_quality_is_the_same_for_any_number_of_languages(spark, odd, prose, monkeypatch):
+    """Broadcast or joined references give equal distances, also for words of another language, long words and a language without a reference."""
+    cyrillic = "человечество правительство государственный"
+    texts = [(k, f"{prose(70)} the and of {cyrillic if la == 'ru' else 'der die das'} " * 2, la) for k, la in enumerate(["en", "de", "ru", None, "xx"] * 8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").unionByName(odd.select("doc_id", "text", "lang"))
+    references = quality.language_references(docs).filter("lang != 'xx'")
+    words = {r.lang: [bytes(w).decode() for w in r.words] for r in references.collect()}
+    assert set(cyrillic.split()) < set(words["ru"]) and "der" not in words["en"][:3]
+    rows = lambda: sorted((str(r) for r in quality.judge_quality(docs, references).collect()))
+    one = rows()
+    assert sum("word_distance=0." in r for r in one) >= 32 and all("word_distance=None" in r for r in one if "doc_id=9," in r or "doc_id=14," in r)
+    for name in ("MAX_LANGUAGES", "MAX_REFERENCE_BYTES"):
+        with monkeypatch.context() as patch:
+            patch.setattr(quality, name, 1)
+            assert rows() == one
 
 
 # 2: toxicity
@@ -80,6 +94,8 @@ def test_toxicity_learns_from_labels_only(spark, make, prose):
     models = toxicity.train(docs, labels)
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, models).collect()}
     assert all((got[k] >= 0.7) == bool(t) for k, t in marks if k >= 250)
+    again = toxicity.train(docs.unionByName(docs), labels)  # repeated rows count once
+    assert again.offset == pytest.approx(models.offset) and again.weights == pytest.approx(models.weights)
 
 
 def test_toxicity_on_odd_rows(spark, odd, nothing):
@@ -91,9 +107,88 @@ def test_toxicity_on_odd_rows(spark, odd, nothing):
     assert toxicity.score_toxicity(odd, models).filter("score >= 0.7").count() == 0 and toxicity.score_toxicity(nothing, models).count() == 0
 
 
-def test_kneser_ney_gives_distributions():
-    counts = np.array([[[5.0, 0], [3, 2]], [[1, 7], [0, 0]]])
-    assert np.exp(toxicity._kneser_ney(counts)).sum(axis=2) == pytest.approx(np.ones((2, 2)))
+def plain_models(texts, discount):
+    """The models' definition in dictionaries: p(word | word before) of both classes, for any pair of known words."""
+    pairs, words = [Counter(), Counter()], [Counter(), Counter()]
+    for body, c in texts:
+        ws = toxicity.words_of(body)
+        pairs[c].update(zip([b"", *ws], ws))
+    for c in (0, 1):
+        words[c].update(w for _, w in pairs[c])
+    vocabulary = sorted(set(words[0]) | set(words[1]))
+
+    def excess(x, expected):
+        return math.copysign(max(abs(x - expected) - discount * (1 + math.sqrt(expected)), 0.0), x - expected)
+
+    chain = [lambda w: b"", *(lambda w, n=n: w[:n].ljust(n, b"\0") for n in toxicity.BEGINNINGS), lambda w: w + b"$"]
+    p_word = [dict.fromkeys(vocabulary, 1.0) for _ in (0, 1)]
+    for above, below in zip(chain, chain[1:]):
+        of, kids, parents = {}, [Counter(), Counter()], [Counter(), Counter()]
+        for w in vocabulary:
+            of.setdefault(above(w), set()).add(below(w))
+            for c in (0, 1):
+                kids[c][below(w)] += words[c][w]
+                parents[c][above(w)] += words[c][w]
+        for c in (0, 1):
+            p = {}
+            for parent, children in of.items():
+                m, both = parents[c][parent], parents[0][parent] + parents[1][parent]
+                raw = {x: (kids[0][x] + kids[1][x]) / both + (excess(kids[c][x], m * (kids[0][x] + kids[1][x]) / both) / m if m else 0) for x in children}
+                p |= {x: v / sum(raw.values()) for x, v in raw.items()}
+            for w in vocabulary:
+                p_word[c][w] *= p[below(w)]
+    heads = [Counter(), Counter()]
+    for body, c in texts:
+        heads[c].update([b"", *toxicity.words_of(body)])
+    p_pair = [{}, {}]
+    for h in set(heads[0]) | set(heads[1]):
+        m, marked = (heads[0][h], heads[1][h]), {}
+        for w in vocabulary:
+            x = (pairs[0][h, w], pairs[1][h, w])
+            if sum(x) > discount:
+                by_words = [m[c] * p_word[c][w] for c in (0, 1)]
+                if any(excess(x[c], sum(x) * by_words[c] / sum(by_words)) for c in (0, 1)):
+                    marked[w] = [sum(x) / sum(m) + (excess(x[c], m[c] * sum(x) / sum(m)) / m[c] if m[c] else 0) for c in (0, 1)]
+        for c in (0, 1):
+            total = sum(p[c] for p in marked.values())
+            z = max(1.0, total + 1 / (m[c] + 1))
+            rest = (1 - total / z) / max(1 - sum(p_word[c][w] for w in marked), 1e-9)
+            p_pair[c].update({(h, w): marked[w][c] / z if w in marked else rest * p_word[c][w] for w in vocabulary})
+    return p_pair, vocabulary
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_kneser_ney_as_a_plain_one(spark, monkeypatch, parts):
+    """Ratios as those of plain models, whose probabilities add up to one, also where the weights come in several parts."""
+    rng = random.Random(8)
+    monkeypatch.setattr(toxicity, "DISCOUNT", 0.3)
+    monkeypatch.setattr(toxicity, "GATHERED", 500)
+    common, bad = ["the", "of", "there", "thereby", "and", "sea", "seaside"], ["snurk", "snurkle", "vilgar", "snurkless"]
+    texts = []
+    for k in range(90):
+        toxic = k % 4 == 0
+        words = [rng.choice(common) for _ in range(30)]
+        for at in range(rng.randint(2, 5) if toxic else rng.random() < 0.1):
+            words[rng.randrange(30)] = rng.choice(bad)
+            words[at : at + 2] = ["of", "the"] if toxic else ["of", "sea"]
+        texts.append((" ".join(words).encode(), int(toxic)))
+    texts = list(dict(texts).items())
+    p_pair, vocabulary = plain_models(texts, 0.3)
+    for c in (0, 1):
+        for h in {h for h, _ in p_pair[c]}:
+            assert sum(p_pair[c][h, w] for w in vocabulary) == pytest.approx(1)
+    weights = toxicity.model_weights(spark.createDataFrame(texts, "text binary, toxic int"))
+    monkeypatch.setattr(toxicity, "PART_WEIGHTS", -(-weights.count() // parts))
+    models = toxicity.Models(toxicity._parts(weights))
+    assert len(models.parts) == parts
+    fresh = [" ".join(rng.choice(common + bad) for _ in range(20)).encode() for _ in range(40)]
+    pairs = 0
+    for body, ratios in zip(fresh, models.ratios(fresh)):
+        ws = toxicity.words_of(body)
+        for h, w, r in zip([b"", *ws], ws, ratios):
+            assert r == pytest.approx(math.log(p_pair[1][h, w] / p_pair[0][h, w]), abs=1e-9)
+        pairs += sum(models.leads[models.numbers[w]] for w in ws)
+    assert pairs and models.evidence([b"", b"the"]).shape == (2, 4) and not models.evidence([b""]).any()
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the larger tables")
@@ -218,13 +313,26 @@ def test_common_passages_as_a_search_of_all_windows():
 
 
 def test_intervals_that_cross_are_all_kept():
-    at = lambda f, alo, blo: {"f": f, "alo": alo, "ahi": alo + 59, "blo": blo, "bhi": blo + 59}
-    twice = [at(0, 0, 0), at(0, 0, 500), at(1, 1, 1), at(1, 1, 501)]
-    assert set(substring.merge_intervals(twice)) == {(0, 60, 0, 60), (0, 60, 500, 560)}
-    near = [at(0, 0, 900), at(0, 10, 100), at(1, 5, 905), at(1, 12, 102), at(2, 300, 300)]
+    at = lambda f, alo, blo: (alo, alo + 59, blo, blo + 59, 1 << f)
+    twice = [at(0, 0, 0), at(0, 0, 500), at(1, 1, 1), at(1, 1, 501), at(2, 2, 2), at(2, 2, 502)]
+    assert set(substring.merge_intervals(twice)) == {(0, 61, 0, 61), (0, 61, 500, 561)}
+    near = [at(0, 0, 900), at(0, 10, 100), at(1, 5, 905), at(1, 12, 102), at(3, 5, 905), at(3, 12, 102), at(2, 300, 300)]
     assert set(substring.merge_intervals(near)) == {(0, 64, 900, 964), (10, 71, 100, 161)}
-    chance = sum(math.comb(substring.FUNCTIONS, k) * 0.8**k * 0.2 ** (substring.FUNCTIONS - k) for k in range(substring.ENOUGH))
-    assert chance < 1e-4
+    missed = lambda n: sum(math.comb(substring.FUNCTIONS, k) * 0.8**k * 0.2 ** (substring.FUNCTIONS - k) for k in range(n))
+    assert missed(substring.ENOUGH) < 1 / 800 and missed(substring.LEVELS) < 0.011
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("ab\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(4000)] + ["x" * 700, "y" * 90_000, "x" * 701]
+    text = "".join(w + rng.choice([" ", "\n", "\t ", "\r\n"]) for w in words)
+    found = {}
+    for w, h in zip(words, substring.word_hashes(text.encode()).tolist()):
+        assert found.setdefault(w, h) == h
+    assert len(set(found.values())) == len(found) and len(substring.word_hashes(b"  ")) == 0
+    whole = substring.word_hashes(text.encode()).tolist()
+    monkeypatch.setattr(substring, "PART", 50)
+    assert substring.word_hashes(text.upper().lower().encode()).tolist() == whole
 
 
 def test_passages_are_linked_and_cut(make, prose):
@@ -248,18 +356,17 @@ def test_passages_are_linked_and_cut(make, prose):
     assert set(cut) == {0, 1, 3, 4, 5, 6, 7} and cut[0] == texts[0] and shared not in cut[3] and cut[3].split() == texts[3].replace(shared, "").split()
 
 
-def test_passages_of_documents_between_the_ends_of_their_groups(make, prose):
+@pytest.mark.parametrize("heavy", [64, 2, 0])
+def test_passages_of_documents_between_the_ends_of_their_groups(make, prose, monkeypatch, heavy):
     """Common lines of unrelated documents, around which others share a passage; held against all pairs."""
-    from sqlbranch.llm.common import Hasher
-
+    monkeypatch.setattr(substring, "HEAVY", heavy)
     hot = [prose(12) for _ in range(8)]
     mixed = lambda: " ".join(part for k in range(8) for part in (prose(14), hot[k]))
     passage, drift = " ".join(part for k in range(4) for part in (prose(4), hot[k])), [prose(90).split()]
     for k in range(8):
         drift.append([w if not 10 * k <= i < 10 * k + 4 else f"new{k}x{i}" for i, w in enumerate(drift[-1])])
     texts = [mixed() for _ in range(6)] + [prose(30) + " " + passage + " " + prose(30), prose(50) + " " + passage + " " + prose(20)] + [" ".join(d) for d in drift] + [mixed() for _ in range(6)]
-    hashed = Hasher()
-    shingles = [substring.shingles_of(t.encode(), hashed) for t in texts]
+    shingles = [substring.shingles_of(t.encode()) for t in texts]
     wanted = {(a, b) for a in range(len(texts)) for b in range(a) if substring.common_passages(shingles[a], shingles[b])}
     label = list(range(len(texts)))
     for a, b in sorted(wanted):
@@ -271,6 +378,52 @@ def test_passages_of_documents_between_the_ends_of_their_groups(make, prose):
     assert got[7].n_cut_words >= 60
 
 
+def test_passages_beside_the_least_shingles_of_others(spark):
+    """Documents 3 and 5 share a passage of 50 words whose least shingles stand in other prose of documents 0 and 9."""
+    rng = random.Random(21)
+    lost = 0
+    docs, wanted = [], []
+    for trial in range(20):
+        fresh = lambda n, t=trial: [f"w{t}x{rng.randrange(1 << 40)}" for _ in range(n)]
+        passage = fresh(50)
+        shingles = substring.shingles_of(" ".join(passage).encode())
+        least = [int(substring.mix(shingles ^ seed).argmin()) for seed in substring._SEEDS]
+        around = lambda: [w for k in least for w in (*fresh(60), *passage[k : k + 5], *fresh(60))]
+        for k, words in ((0, around()), (3, fresh(40) + passage + fresh(40)), (5, fresh(60) + passage + fresh(20)), (9, around())):
+            docs.append((10 * trial + k, " ".join(words)))
+        wanted.append((10 * trial + 5, 10 * trial + 3))
+    got = {r.doc_id: (r.class_id, r.n_cut_words) for r in substring.link_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[a] == (b, 50) for a, b in wanted) and all(got[10 * t + k][0] == 10 * t + k for t in range(20) for k in (0, 9))
+
+
+def test_links_as_all_pairs_of_texts(spark):
+    """Edited passages near the least similarity in hundreds of texts with frequent lines: nearly all pairs that a comparison of all texts finds are in one class, and no others."""
+    rng = random.Random(33)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    lines = [fresh(rng.randint(8, 20)) for _ in range(4)]
+    texts = []
+    for _ in range(30):
+        passage = fresh(rng.randint(55, 150))
+        for _ in range(rng.randint(1, 6)):
+            copy = list(passage)
+            for _ in range(rng.randint(0, len(copy) // 45)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 1])] = fresh(rng.choice([0, 1, 1]))
+            texts.append(fresh(rng.randint(0, 60)) + rng.choice(lines) + copy + rng.choice(lines) + fresh(rng.randint(0, 60)))
+    texts += [fresh(30) + rng.choice(lines) + fresh(30) for _ in range(80)]
+    rng.shuffle(texts)
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    shingles = [substring.shingles_of(t.encode()) for _, t in docs]
+    pairs = [(a, b) for a in range(len(docs)) for b in range(a) if len(np.intersect1d(shingles[a], shingles[b])) > 20 and substring.common_passages(shingles[a], shingles[b])]
+    label = list(range(len(docs)))
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    got = {r.doc_id: r.class_id for r in substring.link_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(label[k] == label[got[k]] for k in range(len(docs)))
+    assert len(pairs) > 60 and sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+
+
 def test_links_count_all_copies(spark, prose):
     passage, rest = prose(60), prose(80)
     rows = [(k, passage) for k in range(5)] + [(7, passage + " " + prose(30)), (8, passage), (8, rest), (9, rest), (9, prose(90))]
@@ -344,9 +497,45 @@ def test_shards_divide_a_text_that_fills_several(make):
     check_shards(rows, 8)
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_shards_divide_rows_of_one_document(spark, doc_id):
+    """Half of the rows are one row, which no key but the row itself tells apart."""
+    docs = spark.createDataFrame([(doc_id, "same") for _ in range(4000)] + [(100 + k, f"{k:04d}") for k in range(4000)], "doc_id long, text string").repartition(5)
+    rows = sharding.assign_shards(docs, 8).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(rows) == 8000 and len(sizes) == 8 and max(sizes.values()) < 1.03 * min(sizes.values())
+    check_shards(rows, 8)
+
+
+def test_more_shards_than_ranges(make, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_RANGES", 16)
+    rows = sharding.assign_shards(make([f"text {k:05d}" for k in range(3000)]), 40).collect()
+    assert {r.shard for r in rows} == set(range(40))
+    check_shards(rows, 40)
+
+
+def test_ranges_as_a_plain_search():
+    rng = random.Random(6)
+    bounds = sorted({tuple(rng.randint(0, 3) for _ in range(3)) for _ in range(20)})
+    rows = [tuple(rng.randint(-1, 4) for _ in range(3)) for _ in range(300)]
+    got = sharding._ranks([np.array(c) for c in zip(*rows)], np.array(bounds))
+    assert got.tolist() == [sum(b <= r for b in bounds) for r in rows]
+
+
+def test_shards_are_written(make, tmp_path, spark):
+    sharding.write_shards(sharding.assign_shards(make(["a", "bb", "ccc", "a"]), 2), f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 4 and {r.shard for r in back.collect()} == {0, 1}
+
+
 def test_shards_of_odd_rows(odd, nothing):
     rows = sharding.assign_shards(odd).collect()
     assert len(rows) == 10 and sorted(r.size for r in rows)[:4] == [1, 1, 1, 4] and rows[0]._note in ("z", None)
+    assert {(r._at, r._offset, r._range) for r in rows} == {(1, 2, 14), (None, None, None)}
+    texts = sharding.assign_shards(odd.selectExpr("cast(doc_id as string) doc_id", "text")).collect()
+    assert {r.doc_id for r in texts} == {None, *"1234578"}
     check_shards(rows, 8)
     assert sharding.assign_shards(nothing).count() == 0
 
@@ -393,6 +582,7 @@ def test_contamination_as_plain_search(spark, odd, make, monkeypatch):
     docs = make([text(rng.randint(0, 60)) for _ in range(60)]).unionByName(odd)
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
     flagged = decontam.flag_contaminated(docs, benchmark, near=0).collect()
+    assert {r._bytes for r in flagged} == {0, None}
     for r in flagged:
         n, hit, found = plain_hits(r.text if len(r.text or "") < 10**5 else "", items)
         if len(r.text or "") < 10**5:
@@ -427,11 +617,39 @@ def test_proximity_beside_an_exact_match(spark, make):
         assert got == {0: (1, 1), 1: (0, 1), 2: (0, 1)}
 
 
+def plain_near(text, items, near, width=10):
+    words = decontam.words_of((text or "").encode())
+    found = set()
+    for name, item in items:
+        ws = decontam.words_of((item or "").encode())
+        for k in range(max(1, len(ws) - width + 1) if ws else 0):
+            window = ws[k : k + width]
+            spans = [words[p : p + near + 1] for p in range(len(words))] if len(window) > 1 else []
+            if any(set(window) <= set(x) for x in spans) or any(words[p : p + len(window)] == window for p in range(len(words))):
+                found.add("" if name is None else str(name))
+    return len(found)
+
+
+def test_proximity_as_plain_search_for_any_blocks_and_parts(spark, make, monkeypatch):
+    rng = random.Random(14)
+    text = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    items = [(k, text(rng.randint(1, 8))) for k in range(15)] + [(None, "a g"), (3, "c c c")]
+    texts = [text(rng.randint(0, 25)) for _ in range(50)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    wanted = [(plain_hits(t, items)[1], plain_near(t, items, 4)) for t in texts]
+    for words in (1 << 20, 100):
+        monkeypatch.setattr(decontam, "QUERY_WORDS", words)
+        for block in (1 << 17, 60):
+            monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+            for rows in (decontam.flag_contaminated(make(texts), benchmark, near=4), decontam.search_index(decontam.build_index(make(texts)), benchmark, near=4)):
+                assert [(r.n_hit, r.n_near_items) for r in sorted(rows.collect(), key=lambda r: r.doc_id)] == wanted
+
+
 def test_registered_decontamination_returns_proximity(spark, prose, tmp_path):
     words = prose(10).split()
     spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, prose(20))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: (r.n_items, r.n_near_items) for r in queries.op7_proximity(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_items, r.n_near_items) for r in queries.op7_decontamination(spark, str(tmp_path)).collect()}
     assert got == {1: (1, 1), 2: (0, 1), 3: (0, 0)}
 
 
@@ -532,6 +750,35 @@ def test_main_text_without_article():
     assert html.main_text(page) == f"The story\n{prose.strip()}\nShort end."
 
 
+PROSE = "This is the story of a man who went to the sea and of the fish that he did not catch in it. " * 3
+
+
+@pytest.mark.parametrize("wrapper", ["class='has-sidebar'", "class='no-sidebar'", "class=header-fixed", 'class="x menu-open"', 'id="page-header-wrap"', "class=nav", "id='share'"])
+def test_names_around_a_whole_page(wrapper):
+    """A wrapper that holds all of the prose is judged by its blocks, whatever it is called."""
+    for tag in ("body", "div", "section"):
+        assert html.main_text(f"<html><{tag} {wrapper}><div class='ad'>{PROSE}</div><div>{PROSE}</div></{tag}></html>") == PROSE.strip(), tag
+    assert html.main_text(f"<body><article>{PROSE}</article><div class='comments'>{PROSE}</div></body>") == PROSE.strip()
+    assert html.main_text(f"<body><div>{PROSE}</div><div class='site-footer'>{PROSE}</div><p class=cookie-notice>{PROSE}</p></body>") == PROSE.strip()
+
+
+@pytest.mark.parametrize("name", ["<script ", "<a ", "<p class=\"x", "<p a=\"x' <b c='y ", "<div>", "<div class=ad>", "</div>", "<", "<!x", "<!--", "<script>", "<li class=nav>", "<a \"<b "])
+def test_hostile_pages_take_linear_time(name):
+    import time
+
+    started = time.process_time()
+    html.main_text(name * (1_000_000 // len(name)))
+    html.main_text(name * (1_000_000 // len(name)) + ">")
+    assert time.process_time() - started < 8
+
+
+def test_tags_and_text():
+    pieces = lambda page: list(html.pieces_of(page))
+    assert pieces("a<b c=\"<d>\">e</b>") == ["a", ("b", False, ' c="<d>"'), "e", ("b", True, "")]
+    assert pieces("1 < 2 <3> <p") == ["1 < 2 <3> <p"] and pieces("<SCRIPT>x</scripts></Script >y<!--z") == ["y"] and pieces("<!x") == ["<!x"]
+    assert pieces("<style>never ends") == [] and pieces("<p a='>' \"") == [("p", False, " a="), "' \""] or pieces("<p a='>' \"") == ["<p a='>' \""]
+
+
 def test_pages_on_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (2, None, "", 3), (3, "u", "<p>" + "a " * 300_000, 3), (3, "u", "<p>" * 5000 + "deep", 3)], "page_id long, url string, html string, n_chars int")
     got = html.extract(df).collect()
@@ -540,6 +787,5 @@ def test_pages_on_odd_rows(spark):
 
 
 def test_shingles():
-    hashed = Hasher(3)
-    one, two = (substring.shingles_of(t, hashed) for t in (b"a b c d e f", b"x A b C d e f"))
-    assert set(one) <= set(two) and len(two) == 3 and len(substring.shingles_of(b"a b c d", hashed)) == 0
+    one, two = (substring.shingles_of(t) for t in (b"a b c d e f", b"x A b C d e f"))
+    assert set(one) <= set(two) and len(two) == 3 and len(substring.shingles_of(b"a b c d")) == 0

@@ -51,8 +51,6 @@ def plain_pipeline(docs, models, items, library):
     from test_operators import plain_hits
 
     from sqlbranch.llm import simhash, substring
-    from sqlbranch.llm.common import Hasher
-
     docs = sorted((k, t) for k, t in docs if models.score(t.encode()) < 0.7)
     prints = {k: simhash.fingerprint(t.encode()) for k, t in docs}
     first = {}
@@ -63,8 +61,8 @@ def plain_pipeline(docs, models, items, library):
             if first[j] in near:
                 first[j] = first[k]
     docs = [(k, t) for k, t in docs if first[k] == k]
-    hashed, kept = Hasher(), []
-    shingles = {k: substring.shingles_of(t.encode(), hashed) for k, t in docs}
+    kept = []
+    shingles = {k: substring.shingles_of(t.encode()) for k, t in docs}
     for n, (k, t) in enumerate(docs):
         spans = sorted((p, q + substring.SHINGLE) for j, _ in docs[:n] for p, q, _, _ in substring.common_passages(shingles[k], shingles[j]))
         text = substring.without_words(t, [{"lo": p, "hi": q} for p, q in spans])
