@@ -39,7 +39,8 @@ def merge_branches(workspace: Workspace, source: str, target: str, prefer: str |
 
     With conflicts that nothing settles, or with dry, nothing is written.
     """
-    base, ours, theirs = workspace.ancestor(target, source), workspace.manifest(target), workspace.manifest(source)
+    (number, one), (_, other) = workspace.place(target), workspace.place(source)
+    base, ours, theirs = workspace.ancestor(target, source), workspace.load(one), workspace.load(other)
     preview, result = Preview(), ours.copy()
     same = lambda x, y: (x is None) == (y is None) and (x is None or x.paths == y.paths and x.fingerprint() == y.fingerprint())
     for name in sorted({*base.tables, *ours.tables, *theirs.tables}):
@@ -72,8 +73,8 @@ def merge_branches(workspace: Workspace, source: str, target: str, prefer: str |
             info.paths, info.next_rowid = [workspace.write(merged, info)], max(o.next_rowid, t.next_rowid)
             result.tables[name] = info
     if not dry and not preview.conflicts:
-        result.parents = [workspace.head(target), workspace.head(source)]
-        workspace._publish(target, workspace._number(target) + 1, result)
+        result.parents = [one, other]
+        workspace._publish(target, number + 1, result)  # fails if the target has moved since it was read
     return preview
 
 

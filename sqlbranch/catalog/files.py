@@ -45,7 +45,3 @@ class Files:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
-
-    def copy_tree(self, name: str, other: Files) -> None:
-        conf = self.spark._jsc.hadoopConfiguration()
-        self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.path(name), other.fs, other.path(name), False, conf)

@@ -58,6 +58,7 @@ class Manifest:
     tables: dict[str, TableInfo] = field(default_factory=dict)
     functions: dict[str, str] = field(default_factory=dict)
     parents: list[str] = field(default_factory=list)
+    migrations: list[list[str]] = field(default_factory=list)
 
     def copy(self) -> Manifest:
         return copy.deepcopy(self)
@@ -76,7 +77,7 @@ class Manifest:
     def from_json(cls, text: str) -> Manifest:
         raw = json.loads(text)
         tables = {k: TableInfo(**{**t, "columns": [ColumnInfo(**c) for c in t["columns"]]}) for k, t in raw["tables"].items()}
-        return cls(tables, raw["functions"], raw["parents"])
+        return cls(tables, raw["functions"], raw["parents"], raw.get("migrations", []))
 
     def digest(self) -> str:
         return hashlib.sha256(self.to_json().encode()).hexdigest()[:32]

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from .catalog.manifest import ColumnInfo, Manifest, TableInfo
 from .catalog.workspace import ConflictError, Workspace
 from .sql.ast import Item, Node, Select, SetOp, Source, With
-from .sql.compile import Columns, Compiler, Scope, quoted
+from .sql.compile import UNREPEATABLE, Columns, Compiler, Scope, quoted
 from .sql.lexer import SqlError
 from .sql.parser import parse
 from .types import kind_of, spark_type
 
 
+#: How often a key may come in one upsert whose assignments look at the old row.
+MAX_REPEATS = 32
+
+
 @dataclass
 class Status:
     """What a statement without rows has done."""
@@ -31,21 +35,32 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, branch: str = "main", deterministic: bool = False):
         self.spark, self.workspace, self.deterministic = spark, Workspace(spark, root, branch), deterministic
         self.views: dict[str, DataFrame] = {}
+        self._udfs: set[str] = set()
 
     def register(self, name: str, df: DataFrame) -> None:
         """A DataFrame that queries may use like a table; a table of that name hides it."""
         self.views[name.lower()] = df
 
     def register_udf(self, name: str, function, pandas: bool = False) -> None:
-        """A function over texts that gives a text; with pandas, over Series of texts."""
-        returned = F.pandas_udf(function, "string") if pandas else F.udf(function, "string")
+        """A function over texts that gives a text, called row by row over Arrow batches; with pandas, over Series of texts. A function of the same name is replaced; case doesn't count."""
+        returned = F.pandas_udf(function, "string") if pandas else F.udf(function, "string", useArrow=True)
         self.spark.udf.register(name.lower(), returned)
-        self.udfs().add(name.lower())
+        self._udfs.add(name.lower())
+
+    def unregister_udf(self, name: str) -> bool:
+        """Whether there was such a function."""
+        if not self.has_udf(name):
+            return False
+        self._udfs.discard(name.lower())
+        self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {quoted(name.lower())}")
+        return True
 
-    def udfs(self) -> set[str]:
-        if not hasattr(self, "_udfs"):
-            self._udfs: set[str] = set()
-        return self._udfs
+    def has_udf(self, name: str) -> bool:
+        return name.lower() in self._udfs
+
+    def udfs(self) -> list[str]:
+        """Names of the registered functions, sorted."""
+        return sorted(self._udfs)
 
     def sql(self, text: str, params: dict | None = None) -> DataFrame | Status:
         """The result of the last statement. :name stands for a parameter, null if it isn't given."""
@@ -58,7 +73,10 @@ class Engine:
     def run(self, statement, params: dict | None = None) -> DataFrame | Status:
         if isinstance(statement, (Select, SetOp, With)):
             return self.dataframe(lambda c: c.query(statement)[0], params)
-        return getattr(self, f"_{statement.kind}")(statement.parts, params)
+        if statement.kind in ("begin", "commit", "rollback"):
+            return getattr(self, f"_{statement.kind}")(statement.parts, params)
+        with self.workspace.statement():
+            return getattr(self, f"_{statement.kind}")(statement.parts, params)
 
     # queries
 
@@ -85,7 +103,7 @@ class Engine:
             return made[key]
 
         try:
-            return self.spark.sql(build(Compiler(table, params, self.udfs() | set(manifest.functions), self.deterministic)))
+            return self.spark.sql(build(Compiler(table, params, self._udfs | set(manifest.functions), self.deterministic)))
         finally:
             for view, _ in made.values():
                 self.spark.catalog.dropTempView(view)
@@ -153,6 +171,10 @@ class Engine:
 
     def save(self, name: str, df: DataFrame, mode: str = "error") -> Status:
         """A DataFrame as a table. mode: error, append (by name), replace."""
+        with self.workspace.statement():
+            return self._save(name, df, mode)
+
+    def _save(self, name: str, df: DataFrame, mode: str) -> Status:
         if self._exists(name) and mode == "append":
             return self._append(name, df)
         if self._exists(name) and mode == "error":
@@ -172,11 +194,35 @@ class Engine:
         info = self.info(name)
         known = {c.lower() for c in df.columns}
         rows = df.select(*(F.col(c.name).cast(c.type).alias(c.name) if c.name.lower() in known else F.lit(None).cast(c.type).alias(c.name) for c in info.columns))
+        path, rows = self._written(rows, info)
         self._check(info, rows, self.workspace.read(info))
-        path = self.workspace.write(rows, info)
-        self.workspace.update(lambda m: m.tables[m.find(name)].paths.append(path))
+        self.workspace.update(self._adding(info, name, path), rebase=not info.keys())
         return Status(f"rows appended to {name}")
 
+    def _written(self, rows: DataFrame, info: TableInfo) -> tuple[str, DataFrame]:
+        """A new folder of the table and the rows as they are there: whatever else looks at them sees the same values, and no source is read again."""
+        path = self.workspace.write(rows, info)
+        return path, self.spark.read.schema(info.ddl()).parquet(f"{self.workspace.files.root}/{path}")
+
+    @staticmethod
+    def _adding(info: TableInfo, name: str, path: str):
+        """A change that adds a folder to a table that still is the one that was read."""
+
+        def change(m: Manifest):
+            t = m.tables[m.find(name)]
+            if t.id != info.id or t.fingerprint() != info.fingerprint():
+                raise ConflictError(f"table {name} was changed by another writer")
+            t.paths.append(path)
+
+        return change
+
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        """rows, computed once and kept beside the tables until the application ends."""
+        path = f"{self.workspace.files.root}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.workspace.files.fs.deleteOnExit(self.workspace.files.path(path.removeprefix(self.workspace.files.root + "/")))
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def _drop_table(self, parts, params):
         if not self._exists(parts["name"]):
             if parts["if_exists"]:
@@ -286,8 +332,12 @@ class Engine:
                 raise SqlError(f"{len(names)} values are needed in a row")
 
             def build(c: Compiler) -> str:
-                rows = [f"({k}L, {', '.join(c.expr(e, Scope())[0] for e in row)})" for k, row in enumerate(parts["rows"])]
-                return f"SELECT * FROM VALUES {', '.join(rows)} AS v(_ord, {', '.join(f'_{k}' for k in range(len(names)))})"
+                rows = [([f"{k}L", *(c.expr(e, Scope())[0] for e in row)], any(map(_unrepeatable, row))) for k, row in enumerate(parts["rows"])]
+                listed = ["_ord", *(f"_{k}" for k in range(len(names)))]
+                plain = [f"({', '.join(row)})" for row, odd in rows if not odd]
+                # a list of values may not hold what changes from call to call
+                selects = [f"SELECT {', '.join(f'{x} AS {n}' for x, n in zip(row, listed))}" for row, odd in rows if odd]
+                return " UNION ALL ".join(([f"SELECT * FROM VALUES {', '.join(plain)} AS v({', '.join(listed)})"] if plain else []) + selects)
 
             given = self.dataframe(build, params)
         columns = []
@@ -312,13 +362,18 @@ class Engine:
     def _insert(self, parts, params):
         table = parts["table"]
         info = self.info(table)
-        rows, old = self._incoming(parts, params, info), self.workspace.read(info)
+        old = self.workspace.read(info)
         conflict = parts["conflict"] or {"replace": ("replace",), "ignore": (None, None, None)}.get(parts["or"])
         names = [c.name for c in info.columns]
+        rows = self._incoming(parts, params, info)
+        if conflict is not None:
+            rows = self._staged(rows)
+            count = rows.count()
         if conflict is None:
-            self._check(info, rows, old)
-            touched = rows.select(*names)
-            paths = [*info.paths, self.workspace.write(touched, info)]
+            path, touched = self._written(rows.select(*names), info)
+            self._check(info, touched, old)
+            count = touched.count()
+            paths = [path]
         elif conflict[0] == "replace":
             kept = old
             for key in info.keys():
@@ -326,6 +381,7 @@ class Engine:
                 kept = kept.join(rows.na.drop(subset=key).select(*key).distinct(), key, "left_anti").select(*names)
             touched = rows.select(*names)
             self._check(info, touched, None)
+            count = touched.count()
             paths = [self.workspace.write(kept.unionByName(touched), info)]
         elif conflict[1] is None:
             keys = [[info.column(c).name for c in conflict[0]]] if conflict[0] else info.keys()
@@ -333,66 +389,80 @@ class Engine:
             rows = rows.na.drop(subset=needed) if needed else rows
             for key in keys:
                 rows = _first(rows, key).join(old.select(*key), key, "left_anti")
-            touched = rows.select(*names)
+            path, touched = self._written(rows.select(*names), info)
             self._check(info, touched, old)
-            paths = [*info.paths, self.workspace.write(touched, info)]
+            count = touched.count()
+            paths = [path]
         else:
             touched, whole = self._upsert(info, old, rows, conflict, params)
+            path, whole = self._written(whole, info)
             self._check(info, whole, None)
-            paths = [self.workspace.write(whole, info)]
-        count = rows.agg(F.count("*")).first()[0]
-        keyed = [c.name for c in info.columns if c.type == "bigint"]
-        top = touched.agg(F.count("*"), *(F.max(c).alias(c) for c in keyed)).first()
+            touched = whole.join(touched, [info.column(c).name for c in conflict[0]] if conflict[0] else info.keys()[0], "left_semi").select(*names)
+            paths = [path]
+        adds = conflict is None or len(conflict) > 1 and conflict[1] is None
+        auto = [c.name for c in info.columns if c.autoincrement or info.primary_key == [c.name] and c.type == "bigint"]
+        top = touched.agg(F.max(auto[0])).first()[0] if auto else None
 
         def change(m: Manifest):
             t = m.tables[m.find(table)]
-            t.paths, t.next_rowid = paths, t.next_rowid + count
-            auto = [c.name for c in t.columns if c.autoincrement or t.primary_key == [c.name] and c.type == "bigint"]
-            if auto:
-                t.next_rowid = max(t.next_rowid, (top[auto[0]] or 0) + 1)
+            if adds:
+                self._adding(info, table, paths[0])(m)
+            else:
+                t.paths = paths
+            t.next_rowid = max(t.next_rowid + count, (top or 0) + 1)
 
         result = self._returned(parts["returning"], touched, table, params)
-        self.workspace.update(change)
+        # rows that no key compares with others may follow whatever another writer has added meanwhile
+        self.workspace.update(change, rebase=adds and not info.keys() and not auto)
         return result or Status(f"{count} rows inserted")
 
     def _upsert(self, info: TableInfo, old: DataFrame, rows: DataFrame, conflict, params) -> tuple[DataFrame, DataFrame]:
-        """Rows with one key follow each other: the second sees what the first has made, as if they came in statements of their own."""
+        """Keys of the incoming rows, and the whole table. Rows with one key follow each other: the second sees what the first has made, as if they came in statements of their own.
+
+        Where no assignment looks at the old row, the last one of a key settles it. Otherwise each repetition of a key takes a join, and more than MAX_REPEATS are refused.
+        """
         target, sets, where = conflict
         key = [info.column(c).name for c in target] if target else info.keys()[0]
         names = [c.name for c in info.columns]
+        assigned = {info.column(c).name: _qualified(e) for c, e in sets}
+        where = _qualified(where) if where is not None else None
         null_key = F.greatest(*(F.col(c).isNull() for c in key)) if len(key) > 1 else F.col(key[0]).isNull()
         rank = F.when(null_key, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*key).orderBy("_ord")))
-        rows = rows.withColumn("_rank", rank).cache()
+        rows = self._staged(rows.withColumn("_rank", rank))
         rounds = rows.agg(F.max("_rank")).first()[0] or 0
+        if rounds > 2 and not any(_mentions(e, "n") for e in [*assigned.values(), where] if e is not None):
+            later = rows.filter("_rank > 1")
+            if where is not None:
+                kinds = [(f.name, kind_of(f.dataType)) for f in old.schema]
+                later = self.dataframe(lambda c: f"SELECT * FROM {c.table('later')[0]} e WHERE coalesce({c.truth(where, Scope([('e', kinds)]))}, false)", params, {"later": later})
+            rows, rounds = rows.filter("_rank = 1").unionByName(_last(later, key).withColumn("_rank", F.lit(2))), 2
+            rows = self._staged(rows)
+        if rounds > MAX_REPEATS:
+            raise ConflictError(f"a key comes {rounds} times; more than {MAX_REPEATS} can't follow each other in one statement")
         whole = old
         for k in range(1, rounds + 1):
-            part = rows.filter(F.col("_rank") == k)
-            assigned = dict((info.column(c).name, e) for c, e in sets)
 
-            def build(c: Compiler, assigned=assigned) -> str:
+            def build(c: Compiler) -> str:
                 now, _ = c.table("now")
                 new, _ = c.table("new")
                 kinds = [(f.name, kind_of(f.dataType)) for f in old.schema]
-                scope = Scope([("t", kinds), ("excluded", kinds)])
-                hit = "(e.`_hit` IS NOT NULL" + (f" AND coalesce({c.truth(_qualified(where, names), scope).replace('`excluded`', 'e').replace('`t`', 'n')}, false))" if where is not None else ")")
+                scope = Scope([("n", kinds), ("e", kinds)])
+                hit = "(e.`_hit` IS NOT NULL" + (f" AND coalesce({c.truth(where, scope)}, false))" if where is not None else ")")
                 columns = []
                 for name in names:
                     if name in assigned:
-                        value = c.expr(_qualified(assigned[name], names), scope)[0].replace("`excluded`", "e").replace("`t`", "n")
-                        columns.append(f"CASE WHEN {hit} THEN try_cast({value} AS {info.column(name).type}) ELSE n.{quoted(name)} END AS {quoted(name)}")
+                        columns.append(f"CASE WHEN {hit} THEN try_cast({c.expr(assigned[name], scope)[0]} AS {info.column(name).type}) ELSE n.{quoted(name)} END AS {quoted(name)}")
                     else:
                         columns.append(f"n.{quoted(name)} AS {quoted(name)}")
                 on = " AND ".join(f"n.{quoted(c)} = e.{quoted(c)}" for c in key)
-                fresh = " AND ".join(f"n.{quoted(c)} = e.{quoted(c)}" for c in key)
                 listed = ", ".join(f"e.{quoted(n)}" for n in names)
                 return (
                     f"SELECT {', '.join(columns)} FROM {now} n LEFT JOIN (SELECT *, true AS _hit FROM {new}) e ON {on} "
-                    f"UNION ALL SELECT {listed} FROM {new} e LEFT ANTI JOIN {now} n ON {fresh}"
+                    f"UNION ALL SELECT {listed} FROM {new} e LEFT ANTI JOIN {now} n ON {on}"
                 )
 
-            whole = self.dataframe(build, params, {"now": whole, "new": part.select(*names)})
-        touched = whole.join(rows.select(*key).distinct(), key, "left_semi").select(*names)
-        return touched, whole
+            whole = self.dataframe(build, params, {"now": whole, "new": rows.filter(F.col("_rank") == k).select(*names)})
+        return rows.select(*key).distinct(), whole
 
     def _update(self, parts, params):
         table = parts["table"]
@@ -410,6 +480,8 @@ class Engine:
             return self.dataframe(sql, params)
 
         touched = build(True)
+        if any(map(_unrepeatable, [*sets.values(), *([parts["where"]] if parts["where"] is not None else [])])):
+            touched = self._staged(touched)
         whole = build(False).unionByName(touched)
         self._check(info, whole, None)
         return self._rewritten(table, info, whole, touched, parts["returning"], params, "updated")
@@ -445,13 +517,29 @@ def _expression(sql: str) -> Node:
     return parse(f"SELECT {sql}")[0].items[0].expr
 
 
-def _qualified(e: Node, names: list[str]) -> Node:
-    """Unqualified columns, and those under the table's own name, are the old row's."""
+def _qualified(e: Node) -> Node:
+    """Columns under `excluded` are the new row's (e); unqualified ones, and those under the table's own name, are the old row's (n)."""
     if e.kind == "column":
         table = e.extra["table"]
-        return Node("column", e.value, [], {"table": "excluded" if table and table.lower() == "excluded" else "t"})
-    extra = {k: _qualified(v, names) if isinstance(v, Node) else v for k, v in e.extra.items()}
-    return Node(e.kind, e.value, [_qualified(a, names) for a in e.args], extra)
+        return Node("column", e.value, [], {"table": "e" if table and table.lower() == "excluded" else "n"})
+    extra = {k: _qualified(v) if isinstance(v, Node) else v for k, v in e.extra.items()}
+    return Node(e.kind, e.value, [_qualified(a) for a in e.args], extra)
+
+
+def _nodes(e: Node):
+    yield e
+    for x in [*e.args, *(v for v in e.extra.values() if isinstance(v, Node))]:
+        yield from _nodes(x)
+
+
+def _mentions(e: Node, table: str) -> bool:
+    """Whether an expression uses a column of the table; subqueries may."""
+    return any(x.kind == "column" and x.extra["table"] == table or "query" in x.extra for x in _nodes(e))
+
+
+def _unrepeatable(e: Node) -> bool:
+    """Whether a second look may give another value; subqueries may."""
+    return any(x.kind == "call" and str(x.value).lower() in UNREPEATABLE or "query" in x.extra for x in _nodes(e))
 
 
 def _first(rows: DataFrame, key: list[str], last: bool = False) -> DataFrame:

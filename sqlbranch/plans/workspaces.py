@@ -6,7 +6,6 @@ import json
 import os
 import sqlite3
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +13,12 @@ from pyspark.sql import functions as F
 from ..catalog.branching import branch_diff, merge_branches, migration
 from ..engine import Engine
 from ..sources import readers, writers
-from .registry import query, table
+from .registry import folder, query, table
 
 
 def engine(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
     """A new workspace in shared storage with copies of some tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/sqlbranch-{uuid.uuid4().hex}"
-    out = Engine(spark, path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    out = Engine(spark, folder(spark))
     for name in tables:
         out.save(name, table(spark, sf_dir, name))
     return out
@@ -173,17 +168,9 @@ def migration_plan(spark, sf_dir):
 
 # files; each round trip writes a table where the driver and executors can read it
 
-def _folder(spark) -> str:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    path = f"{root}/sqlbranch-files-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || ', \"q\"' AS n_name, n_regionkey + 0.5::DOUBLE AS half FROM nation")
 def io_csv(spark, sf_dir):
-    path = _folder(spark) + "/nation.csv"
+    path = folder(spark) + "/nation.csv"
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "q"')).alias("N Name"), (F.col("n_regionkey") + F.lit(0.5)).alias("half"))
     writers.write_csv(nation, path)
     e = engine(spark, sf_dir)
@@ -193,18 +180,21 @@ def io_csv(spark, sf_dir):
 
 @query("SELECT r_name, CAST(r_regionkey AS VARCHAR) AS r_regionkey FROM region")
 def io_jsonl(spark, sf_dir):
-    path = _folder(spark) + "/region.jsonl"
+    path = folder(spark) + "/region.jsonl"
     writers.write_json(table(spark, sf_dir, "region"), path)
     return readers.read_jsonl(spark, path)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey < 100")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part")
 def io_parquet_modes(spark, sf_dir):
     part, e = table(spark, sf_dir, "part").select("p_partkey", "p_name"), engine(spark, sf_dir)
-    readers.store(e, "t", part.filter("p_partkey >= 150"), "append")
-    readers.store(e, "t", part.filter("p_partkey < 40"), "replace")
-    readers.store(e, "t", part.filter("p_partkey BETWEEN 40 AND 99"), "append")
-    return e.sql("SELECT * FROM t")
+    even, odd = part.filter("p_partkey % 2 = 0"), part.filter("p_partkey % 2 = 1")
+    readers.store(e, "t", odd, "append")
+    readers.store(e, "t", even, "replace")
+    e.sql("CREATE TABLE u (p_partkey bigint PRIMARY KEY, p_name text); INSERT INTO u SELECT * FROM t")
+    readers.store(e, "u", odd, "append")
+    readers.store(e, "u", even.withColumn("p_name", F.upper("p_name")), "upsert")
+    return e.sql("SELECT * FROM u")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")

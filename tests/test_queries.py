@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare, connect
 
-from sqlbranch.plans import dialect, frames, registry, workspaces  # noqa: F401
+from sqlbranch.plans import dialect, frames, registry, services, workspaces  # noqa: F401
 
 
 @pytest.fixture(scope="module")
