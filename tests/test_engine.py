@@ -255,3 +255,90 @@ def test_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM counted").first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+@pytest.mark.parametrize("statement", ["INSERT INTO t VALUES (2, 'x')", "INSERT OR REPLACE INTO t VALUES (1, 'x')", "INSERT INTO t VALUES (1, 'x') ON CONFLICT (k) DO UPDATE SET name = excluded.name", "INSERT OR IGNORE INTO t VALUES (2, 'x')", "UPDATE t SET name = 'x'", "DELETE FROM t WHERE k = 1"])
+def test_no_commit_is_lost(spark, tmp_path, monkeypatch, statement):
+    """Another writer commits between a statement's reading and its publishing."""
+    one, other = Engine(spark, str(tmp_path / "w")), Engine(spark, str(tmp_path / "w"))
+    one.sql("CREATE TABLE t (k integer PRIMARY KEY, name text); INSERT INTO t VALUES (1, 'a')")
+    update = Workspace.update
+
+    def late(self, change, rebase=False):
+        if self is one.workspace:
+            monkeypatch.setattr(Workspace, "update", update)
+            other.sql("INSERT INTO t VALUES (3, 'c')")
+        return update(self, change, rebase)
+
+    monkeypatch.setattr(Workspace, "update", late)
+    with pytest.raises(ConflictError):
+        one.sql(statement)
+    assert sorted(tuple(r) for r in one.sql("SELECT * FROM t").collect()) == [(1, "a"), (3, "c")]
+
+
+def test_appends_without_keys_follow_other_writers(spark, tmp_path, monkeypatch):
+    one, other = Engine(spark, str(tmp_path / "w")), Engine(spark, str(tmp_path / "w"))
+    one.sql("CREATE TABLE t (k integer, name text)")
+    update = Workspace.update
+
+    def late(self, change, rebase=False):
+        if self is one.workspace:
+            monkeypatch.setattr(Workspace, "update", update)
+            other.sql("INSERT INTO t VALUES (3, 'c')")
+        return update(self, change, rebase)
+
+    monkeypatch.setattr(Workspace, "update", late)
+    one.sql("INSERT INTO t VALUES (1, 'a')")
+    assert sorted(r[0] for r in one.sql("SELECT k FROM t").collect()) == [1, 3]
+    monkeypatch.setattr(Workspace, "update", late)
+    other.sql("ALTER TABLE t ADD COLUMN more text")
+    monkeypatch.setattr(Workspace, "update", update)
+    assert one.sql("SELECT count(*) AS n FROM t").first()[0] == 2
+
+
+def test_merge_fails_if_its_target_moves(spark, tmp_path, monkeypatch):
+    from sqlbranch.catalog import branching
+
+    one, other = Engine(spark, str(tmp_path / "w")), Engine(spark, str(tmp_path / "w"))
+    one.sql("CREATE TABLE t (k integer PRIMARY KEY, name text); INSERT INTO t VALUES (1, 'a')")
+    one.workspace.create_branch("work")
+    one.workspace.switch("work")
+    one.sql("INSERT INTO t VALUES (2, 'b')")
+    one.workspace.switch("main")
+    one.sql("UPDATE t SET name = 'z'")
+    merge = branching.three_way_merge
+
+    def late(*args):
+        other.sql("INSERT INTO t VALUES (9, 'q')")
+        return merge(*args)
+
+    monkeypatch.setattr(branching, "three_way_merge", late)
+    with pytest.raises(ConflictError):
+        branching.merge_branches(one.workspace, "work", "main")
+    monkeypatch.setattr(branching, "three_way_merge", merge)
+    branching.merge_branches(one.workspace, "work", "main")
+    assert sorted(tuple(r) for r in one.sql("SELECT * FROM t").collect()) == [(1, "z"), (2, "b"), (9, "q")]
+
+
+def test_upserts_of_odd_names_and_repetitions(engine):
+    engine.sql("CREATE TABLE t (t integer PRIMARY KEY, excluded text, n integer); INSERT INTO t VALUES (1, 'a', 0)")
+    engine.sql("INSERT INTO t VALUES (1, 'b', 5), (2, 'c', 6) ON CONFLICT (t) DO UPDATE SET excluded = t.excluded || excluded.excluded, n = excluded.n WHERE t.n < 1")
+    assert sorted(tuple(r) for r in engine.sql("SELECT * FROM t").collect()) == [(1, "ab", 5), (2, "c", 6)]
+    many = ", ".join(f"({1 + k % 2}, 'v{k}', {k})" for k in range(80))
+    engine.sql(f"INSERT INTO t VALUES {many} ON CONFLICT (t) DO UPDATE SET excluded = excluded.excluded WHERE excluded.n < 70")
+    assert sorted(tuple(r) for r in engine.sql("SELECT * FROM t").collect()) == [(1, "v68", 5), (2, "v69", 6)]
+    engine.sql(f"INSERT INTO t VALUES {many.replace('(1, ', '(7, ')} ON CONFLICT (t) DO UPDATE SET n = excluded.n")
+    assert tuple(engine.sql("SELECT excluded, n FROM t WHERE t = 7").first()) == ("v0", 78)
+    with pytest.raises(ConflictError):
+        engine.sql(f"INSERT INTO t VALUES {many} ON CONFLICT (t) DO UPDATE SET n = t.n + 1")
+    engine.sql("INSERT INTO t VALUES (3, 'x', 1), (3, 'y', 2), (3, 'z', 3) ON CONFLICT (t) DO UPDATE SET n = t.n + excluded.n")
+    assert tuple(engine.sql("SELECT excluded, n FROM t WHERE t = 3").first()) == ("x", 6)
+
+
+def test_push_takes_up_where_it_broke_off(spark, engine, tmp_path):
+    engine.sql("CREATE TABLE t (k integer); INSERT INTO t VALUES (1), (2); INSERT INTO t VALUES (3)")
+    path = engine.info("t").paths[0]
+    spark.range(1).write.parquet(f"{tmp_path}/other/{path}")
+    (tmp_path / "other" / path / "_SUCCESS").unlink()
+    engine.workspace.push(str(tmp_path / "other"))
+    assert sorted(r[0] for r in Engine(spark, str(tmp_path / "other")).sql("SELECT k FROM t").collect()) == [1, 2, 3]
