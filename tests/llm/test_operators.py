@@ -733,6 +733,31 @@ def test_fingerprints_and_components(spark, odd, nothing, make, prose):
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "4", "5", "None", "7", "8"]) and simhash.keep_one(nothing).count() == 0
 
 
+def test_links_as_brute_force_over_all_fingerprints(spark, prose):
+    rng = random.Random(17)
+    texts = []
+    for _ in range(25):
+        words = prose(rng.randint(30, 400)).split()
+        for _ in range(rng.randint(1, 8)):
+            copy = list(words)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = prose(1)
+            texts.append(" ".join(copy))
+    texts += ["", " ", "a b"] + texts[:5]
+    rng.shuffle(texts)
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.link(docs).collect()}
+    assert got == {k: (prints[k], label[k]) for k in range(len(texts))} and len(set(label)) < len(texts) - 20
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(label)
+
+
 # 10: pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p>";</script></head><body><header><h2>Site</h2></header>
