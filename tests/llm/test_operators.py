@@ -428,6 +428,60 @@ def test_links_as_all_pairs_of_texts(spark):
     assert len(pairs) > 60 and sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
 
 
+def test_anchors_of_common_runs():
+    """All texts that have RUN shingles in a row in common have an anchor inside of them in common; similar passages have such a run."""
+    rng = np.random.default_rng(4)
+    fresh = lambda n: rng.integers(0, 1 << 60, int(n)).astype(np.uint64)
+    for _ in range(100):
+        run = fresh(substring.RUN)
+        found = []
+        for _ in range(2):
+            before = fresh(rng.integers(0, 60))
+            at, spans = substring.anchors(np.concatenate([before, run, fresh(rng.integers(0, 60))]))
+            inside = (at >= len(before)) & (at + substring.ANCHOR <= len(before) + substring.RUN)
+            found.append(set(spans[inside].tolist()))
+        assert found[0] & found[1]
+    for n in range(substring.SHORTEST, 400):
+        most = max(k for k in range(n) if n - 4 * k >= substring.SIMILARITY * (n + 4 * k))
+        assert (n - 4 * most) / (most + 1) > substring.RUN - 1
+
+
+@pytest.mark.parametrize("heavy", [64, 0, 1 << 30])
+def test_pairs_of_large_groups_near_the_least_similarity(spark, monkeypatch, heavy):
+    """Passages of 50 words around a line that has the least shingle under all functions, one word changed: 0.804 alike, all in groups of hundreds of texts, and none is lost however groups are divided."""
+    monkeypatch.setattr(substring, "HEAVY", heavy)
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    line = fresh(4)
+    for seed in substring._SEEDS:  # the next word gives this function a shingle of a small value
+        line.append(min(fresh(2000), key=lambda w, f=seed: int(substring.mix(substring.shingles_of(" ".join([*line[-4:], w]).encode()) ^ f)[0])))
+    texts = []
+    for k in range(100):
+        before = k % 27 + 6
+        passage = fresh(before) + line + fresh(38 - before)
+        other = list(passage)
+        longer = (6, before - 1) if before > 19 else (before + 13, 43)
+        other[rng.randint(*longer)] = "changed"
+        texts += [fresh(30) + passage + fresh(30), fresh(20) + other + fresh(40)]
+    shingles = [substring.shingles_of(" ".join(t).encode()) for t in texts]
+    assert all(substring.common_passages(shingles[k + 1], shingles[k]) for k in range(0, 200, 2))
+    got = {r.doc_id: r.class_id for r in substring.link_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(200)] == [k - k % 2 for k in range(200)]
+
+
+def test_a_second_passage_beside_one_that_the_first_text_has(spark):
+    """Documents 1 and 2 share one passage with 0 and another one around a line that 0 has as well, whose shingles are the least ones of all windows there."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    line = fresh(4)
+    for seed in substring._SEEDS:
+        line.append(min(fresh(2000), key=lambda w, f=seed: int(substring.mix(substring.shingles_of(" ".join([*line[-4:], w]).encode()) ^ f)[0])))
+    one, two = fresh(60), fresh(24) + line + fresh(24)
+    docs = [(0, one + line + fresh(80)), (1, one + two), (2, one + fresh(30) + two)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_cut_words) for r in substring.link_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string")).collect()}
+    assert got == {0: (0, 2, 0), 1: (0, 2, 60), 2: (0, 2, 120)}
+
+
 def test_links_count_all_copies(spark, prose):
     passage, rest = prose(60), prose(80)
     rows = [(k, passage) for k in range(5)] + [(7, passage + " " + prose(30)), (8, passage), (8, rest), (9, rest), (9, prose(90))]
