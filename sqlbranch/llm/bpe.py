@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import ahocorasick
 import numpy as np
@@ -48,11 +49,16 @@ class BytePairEncoder:
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first: for short strings only."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
-            rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
+        none, rank_of = 1 << 60, ranks.get
+        pairs = [rank_of(data[i : i + 2], none) for i in range(len(data) - 1)]  # of each part with the next one; only those beside a merge change
+        while pairs and (rank := min(pairs)) != none:
+            at = pairs.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank_of(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank_of(parts[at] + parts[at + 1], none)
         return [ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
@@ -99,7 +105,7 @@ class BytePairEncoder:
         if len(self.packed) >= MAX_PIECES:
             self.packed.clear()
         if len(piece) <= 64:
-            self.packed[piece] = np.array(ids, "<u4").tobytes()
+            self.packed[piece] = struct.pack(f"<{len(ids)}I", *ids)
             return self.packed[piece]
         return np.array(ids, "<u4").tobytes()
 

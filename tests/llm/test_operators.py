@@ -743,6 +743,22 @@ def test_bpe_on_a_tiny_vocabulary_of_overlaps():
         assert coder.backtrack(data) == coder.merged(data)
 
 
+def test_bpe_merges_look_up_only_what_changed():
+    """Two pairs beside each merge, not all pairs of the string again."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    ranks = {bytes([k]): k for k in range(256)} | {b"ab": 300, b"cd": 301, b"abcd": 302, b"bc": 303}
+    coder = bpe.BytePairEncoder(ranks, r".+")
+    coder.ranks = Counted(ranks)
+    assert coder.merged(b"abcd" * 50 + b"bc") == [302] * 50 + [303] and Counted.asked < 600
+
+
 def test_bpe_takes_very_long_pieces(odd):
     long = odd.filter("doc_id IN (4, 8)").select("doc_id", "text")
     got = {r.doc_id: r for r in bpe.encode_texts(long, VOCABULARY, P.PATTERN).collect()}
