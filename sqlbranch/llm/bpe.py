@@ -76,15 +76,20 @@ class BytePairEncoder:
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # by start, shortest first
         for end, (length, rank) in self.automaton.iter(text):
             starting[end - length + 1].append((length, rank))
-        dead = bytearray(n + 1)
+        dead, remembered = bytearray(n + 1), self.pairs.get
         out: list[tuple[int, int, int]] = []  # start, choices left, id
         at, choice = 0, len(starting[0]) - 1
         while at < n:
             options = starting[at]
             while choice >= 0:
                 length, rank = options[choice]
-                if not dead[at + length] and (not out or self.compatible(out[-1][2], rank)):
-                    break
+                if not dead[at + length]:
+                    if not out:
+                        break
+                    left = out[-1][2]
+                    known = remembered(left << 32 | rank)
+                    if known or known is None and self.compatible(left, rank):
+                        break
                 choice -= 1
             if choice >= 0:
                 out.append((at, choice, rank))
@@ -118,7 +123,7 @@ class BytePairEncoder:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", digests: bool = True) -> DataFrame:
