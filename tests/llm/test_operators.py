@@ -267,6 +267,28 @@ def test_common_passages():
     assert substring.common_passages(a, b) == []
 
 
+def test_densest_run_as_a_search_of_all_places(monkeypatch):
+    def plain(match, share):  # of all pairs of places
+        sums = np.r_[0, np.cumsum(np.where(match, 1 - share, -share))]
+        starts = [int(np.flatnonzero(sums <= s + 1e-9)[0]) for s in sums]
+        at = max(range(len(sums)), key=lambda k: k - starts[k])
+        hits = np.flatnonzero(match[starts[at] : at]) + starts[at]
+        return (int(hits[0]), int(hits[-1]) + 1) if len(hits) else (0, 0)
+
+    rng = np.random.default_rng(12)
+    for n in range(1, 400):
+        match = np.repeat(rng.random(n) < rng.random(), rng.integers(1, 9))
+        for share in substring.SHARES:
+            assert substring._densest(match, share) == plain(match, share), (n, share)
+    # what is beside a passage and has too few matches isn't searched
+    searched, densest = [], substring._densest
+    monkeypatch.setattr(substring, "_densest", lambda match, share: searched.append(len(match)) or densest(match, share))
+    a, b = (rng.integers(0, 1 << 32, 400, dtype=np.uint32) for _ in range(2))
+    b[100:200] = a[150:250]
+    assert substring.common_passages(a, b) == [(150, 249, 100, 199)]
+    assert len(searched) == 2
+
+
 def test_common_passages_as_a_search_of_all_windows():
     """Words inserted, changed or dropped in either text, near the least similarity."""
     rng = np.random.default_rng(9)
@@ -482,6 +504,20 @@ def test_a_second_passage_beside_one_that_the_first_text_has(spark):
     assert got == {0: (0, 2, 0), 1: (0, 2, 60), 2: (0, 2, 120)}
 
 
+def test_pairs_that_are_linked_and_counted_already_do_not_meet(spark):
+    assert substring._united([{"lo": 5, "hi": 9}, {"lo": 0, "hi": 5}, {"lo": 20, "hi": 30}]) == [{"lo": 0, "hi": 9}, {"lo": 20, "hi": 30}]
+    spans = "array(struct(0L as alo, 60L as ahi, 0L as blo, 60L as bhi))"
+    known = spark.sql(f"select a, b, tha, thb, {spans} as spans from values (2L, 1L, 12L, 11L), (3L, 1L, 13L, 11L), (5L, 4L, 15L, 14L) as t(a, b, tha, thb)")
+    columns = "key long, doc long, th long, settled boolean, known boolean, functions int, from int, to int, first int, last int"
+    # of key 1 texts 12 and 13 are linked through 11; of key 2 the place of 13 is outside; of key 3 nothing links 12 with 15, and 14 is its class's first
+    rows = [(1, 2, 12, 5, 5), (1, 3, 13, 9, 9), (2, 2, 12, 5, 5), (2, 3, 13, 56, 56), (3, 2, 12, 5, 5), (3, 5, 15, 5, 5), (4, 1, 11, 0, 55), (4, 3, 13, 0, 55), (5, 9, 19, 5, 5), (5, 2, 12, 5, 5)]
+    rows = spark.createDataFrame([(key, doc, th, False, False, 1, 0, 60, first, last) for key, doc, th, first, last in rows], columns)
+    placed = substring._placed(rows, known)
+    met = substring._met(placed).select("a", "b").collect()
+    assert sorted((r.a, r.b) for r in met) == [(3, 2), (5, 2), (9, 2)]
+    assert {(r.th, r.repeats, r.inside) for r in placed.filter("key = 4 OR key = 5").collect()} == {(11, False, True), (13, True, True), (19, False, False), (12, True, True)}
+
+
 def test_links_count_all_copies(spark, prose):
     passage, rest = prose(60), prose(80)
     rows = [(k, passage) for k in range(5)] + [(7, passage + " " + prose(30)), (8, passage), (8, rest), (9, rest), (9, prose(90))]
